@@ -1,0 +1,37 @@
+"""Writers for the tables of the library."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    w = df.write.mode("append")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+
+
+def publish(df: DataFrame, root: str) -> str:
+    """Write a whole new version of a table beside the old ones; readers keep the version they opened."""
+    spark = df.sparkSession
+    number = len(versions(spark, root))
+    path = f"{root}/version={number:08d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    return path
+
+
+def versions(spark: SparkSession, root: str) -> list[str]:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    found = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("version=")]
+    done = [str(f) for f in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(done)
+
+
+def newest(spark: SparkSession, root: str) -> DataFrame:
+    """The last complete version of a published table."""
+    return spark.read.parquet(versions(spark, root)[-1])
