@@ -82,11 +82,11 @@ closet AS (
     min(o.o_orderdate) AS created_at, count(*) AS times_bought, 'closet' AS status, any_value(p) AS p, part
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN parts p ON p.part = l.l_partkey
   GROUP BY o.o_custkey, l.l_partkey, part),
-closet_items AS (
+closet_items AS MATERIALIZED (
   SELECT user_id, item_id, created_at, times_bought, status, parts.* FROM closet JOIN parts USING (part))"""
 
 CANDIDATES = """,
-candidate_items AS (
+candidate_items AS MATERIALIZED (
   SELECT u.user_id, 'c' || u.user_id || '_' || parts.part AS item_id, TIMESTAMP '2002-01-01' AS created_at,
     'candidate' AS status, parts.*
   FROM (SELECT DISTINCT o_custkey AS user_id FROM orders) u
@@ -95,7 +95,7 @@ candidate_items AS (
   JOIN parts ON parts.part = 5 * ((u.user_id * 31 + s.slot * 17) % (c.n // 5)) + s.slot)"""
 
 VECTORS = """,
-vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+vecs AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 vec_count AS (SELECT count(*) AS n FROM embeddings)"""
 
 REAL_PRICE = f"""

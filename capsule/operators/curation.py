@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsule import fixed
-from capsule.functions.rules import first_match, lookup
+from capsule.functions.rules import first_match, literal_array, lookup
 from capsule.functions.words import blank
 
 col = F.col
@@ -96,7 +96,8 @@ def negative_sets(pools: DataFrame, n: int, slots: Sequence[str], seed: int) ->
     w = Window.partitionBy("category").orderBy(draw(seed, col("item_id")), "item_id")
     ranked = (pools.where(col("category").isin(*slots)).withColumn("at", F.row_number().over(w) - 1)
               .where(col("at") < n).select("category", "at", "item_id"))
-    asked = spark.range(n).select(col("id").alias("set_no")).join(sizes, how="cross")
+    asked = spark.range(n).select(col("id").alias("set_no"), F.explode(literal_array(slots)).alias("category")).join(
+        sizes, "category")
     number = F.conv(F.substring(draw(seed + 1, col("set_no"), col("category")), 1, 8), 16, 10).cast("bigint")
     placed = asked.withColumn("at", (number % col("size")).cast("int"))
     return placed.join(ranked, ["category", "at"]).groupBy("set_no").agg(
