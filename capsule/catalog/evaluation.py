@@ -181,10 +181,10 @@ v2 AS (
     round_even(100 * CASE WHEN price / wears <= 0 THEN 1.0 ELSE
       greatest(-0.5, least(1.0, 0.6 + 0.3 * log2(bar / (price / wears)))) END, 0)::BIGINT AS pc,
     CASE WHEN same = 0 THEN 12 WHEN tn = 0 THEN 6 WHEN tn >= 5 THEN -6 ELSE 0 END AS gap,
-    CASE WHEN level = 'similar' THEN -5 ELSE 0 END AS simp, 0.4 + 0.2 + wc AS w
+    CASE WHEN level = 'similar' THEN -5 ELSE 0 END AS simp, 0.4::DOUBLE + 0.2::DOUBLE + wc AS w
   FROM v1),
 v3 AS (
-  SELECT *, round_even(greatest(0.0, least(100.0, (0.4 * pv + 0.2 * pq + wc * pc) / w + gap + simp)), 0)::BIGINT AS raw,
+  SELECT *, round_even(greatest(0.0, least(100.0, (0.4::DOUBLE * pv + 0.2::DOUBLE * pq + wc * pc) / w + gap + simp)), 0)::BIGINT AS raw,
     CASE WHEN level = 'near_duplicate' THEN 'near_duplicate' WHEN n = 0 AND m > 0 THEN 'no_outfits'
       WHEN n = 0 THEN 'nothing_to_pair_with_yet' END AS capped
   FROM v2),
@@ -212,14 +212,14 @@ _NOUN = o.case("category", fixed.NOUNS)
 _MATCH = "' (' || printf('%.2f', sim) || ' match)'"
 REASONS = VERDICT + f""",
 reasons AS MATERIALIZED (
-  SELECT item_id, 0 AS ord, 0.4 / w * (pv - 50) - CASE WHEN n = 0 THEN 10 ELSE 0 END AS p,
+  SELECT item_id, 0 AS ord, 0.4::DOUBLE / w * (pv - 50) - CASE WHEN n = 0 THEN 10 ELSE 0 END AS p,
     CASE WHEN n = 0 AND m > 0 THEN 'Doesn''t go with anything in your closet yet'
       WHEN n = 0 THEN 'Nothing in your closet to wear a ' || {_NOUN} || ' with yet'
       WHEN vers >= 0.5 AND n >= 0.5 * m THEN 'Makes ' || n || ' of the ' || m || ' outfits a ' || {_NOUN} || ' can make with your closet'
       WHEN vers >= 0.5 THEN 'Makes ' || n || ' new outfits with your closet (' || m || ' possible for a ' || {_NOUN} || ')'
       ELSE 'Only makes ' || n || ' of the ' || m || ' outfits a ' || {_NOUN} || ' could make with your closet' END AS txt
   FROM verdicts
-  UNION ALL SELECT item_id, 1, 0.2 / w * (pq - 50), 'Its best outfits are ' || CASE WHEN q >= 0.8 THEN 'strong'
+  UNION ALL SELECT item_id, 1, 0.2::DOUBLE / w * (pq - 50), 'Its best outfits are ' || CASE WHEN q >= 0.8 THEN 'strong'
       WHEN q >= 0.65 THEN 'good' ELSE 'only borderline' END || ' matches (' || printf('%.2f', q) || ' average score)'
   FROM verdicts WHERE n > 0
   UNION ALL SELECT item_id, 2, wc / w * (pc - 50), 'About ' || {money('cpw')} || ' per wear'

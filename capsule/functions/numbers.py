@@ -47,7 +47,8 @@ def positive(c: Column) -> Column:
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    """Value forced into bounds; NULL stays NULL (least and greatest would pass over it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def fixed(x: Column, digits: int) -> Column:
