@@ -268,7 +268,7 @@ def _(t):
 
 @query("detection_payloads", "EXT-11",
        sql="""SELECT photo_id, pos, label, formality FROM (SELECT l_orderkey AS photo_id,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos, CASE WHEN l_partkey % 4 = 0 THEN 'd' || l_partkey ELSE 'part ' || l_partkey END AS label,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey % 8) - 1 AS pos, CASE WHEN l_partkey % 4 = 0 THEN 'd' || l_partkey ELSE 'part ' || l_partkey END AS label,
          CASE WHEN l_suppkey % 8 = 0 THEN 2 ELSE least(5, l_suppkey % 8) END AS formality FROM lineitem)""")
 def _(t):
     from capsule.operators.extract import detections

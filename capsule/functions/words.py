@@ -141,7 +141,7 @@ def clean_title(name: Column, brand: Column, retailer: Column) -> Column:
     """Product name without marks, store parts, generic parts and a leading brand."""
     bare = F.trim(F.regexp_replace(unescape(blank(name)), "[®™]", ""))
     store = F.array_union(tokens(retailer), tokens(brand))
-    parts = F.filter(F.transform(F.split(bare, r"\s+[|–—-]\s+|\s*\|\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(bare, r"\s+[|–—-]\s+|\s*\|\s*"), lambda p: F.trim(p)), lambda p: p != "")
     own = F.filter(parts, lambda p: ~p.rlike(fixed.GENERIC_TITLE_PART)
                    & ~((F.size(tokens(p)) > 0) & (F.size(F.array_except(tokens(p), store)) == 0)))
     out = F.coalesce(F.get(own, 0), F.get(parts, 0), bare)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from capsule import fixed
 from capsule.streaming.rules import Lockout
@@ -43,7 +44,8 @@ def apply_rule(events: DataFrame, rule, *, key: str = "key", ts: str = "ts", ord
         cut = segments(events, key, ts, rule.idle)
     rows = cut.withColumn("_at", F.unix_micros(ts))
     name, kind = rule.out.split()
-    schema = events.schema.add(name, kind)
+    columns = events.columns
+    schema = StructType(list(events.schema.fields)).add(name, kind)
 
     def run(batches):
         at_key, state = None, None
@@ -54,7 +56,7 @@ def apply_rule(events: DataFrame, rule, *, key: str = "key", ts: str = "ts", ord
                     at_key, state = (k, s), rule.start()
                 state, result = rule.step(state, int(t), bool(ok))
                 out.append(result)
-            yield pdf[events.columns].assign(**{name: out})
+            yield pdf[columns].assign(**{name: out})
 
     return (rows.repartition(key, "segment").sortWithinPartitions(key, "segment", "_at", order)
             .mapInPandas(run, schema))

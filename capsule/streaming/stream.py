@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from capsule.operators.profile import content_key
@@ -20,7 +21,7 @@ def apply_rule(events: DataFrame, rule, *, key: str = "key", ts: str = "ts", ord
     """A rule over a stream: its state per key lives in the state store. Events of one trigger are taken in time order."""
     name, kind = rule.out.split()
     names = [f.split()[0] for f in rule.state.split(", ")]
-    schema = events.schema.add(name, kind)
+    schema = StructType(list(events.schema.fields)).add(name, kind)
     columns = events.columns
 
     def run(k, frames, state: GroupState):
