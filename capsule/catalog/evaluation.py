@@ -40,11 +40,12 @@ def _(t):
 
 @query("cosine_search", "VEC-2", "VEC-1",
        sql=o.with_(o.CLOSET, o.CANDIDATES, o.VECTORS) + f"""
-       SELECT cand_id, item_id, rank, {o.rnd('s', 6)} AS similarity FROM (
-         SELECT c.item_id AS cand_id, i.item_id, round(list_inner_product(a.v, b.v), 12) AS s, row_number() OVER (
-           PARTITION BY c.item_id ORDER BY round(list_inner_product(a.v, b.v), 12) DESC, i.created_at, i.item_id) AS rank
-         FROM candidate_items c JOIN closet_items i ON i.user_id = c.user_id CROSS JOIN vec_count
-         JOIN vecs a ON a.vec_id = c.image_key % n JOIN vecs b ON b.vec_id = i.image_key % n) WHERE rank <= 10""")
+       , rows AS MATERIALIZED (SELECT c.item_id AS cand_id, i.item_id, i.created_at, c.image_key % n AS ka, i.image_key % n AS kb
+         FROM candidate_items c JOIN closet_items i ON i.user_id = c.user_id, vec_count),
+       sims AS MATERIALIZED (SELECT cand_id, item_id, created_at, round(list_inner_product(a.v, b.v), 12) AS s
+         FROM rows LEFT JOIN vecs a ON a.vec_id = ka LEFT JOIN vecs b ON b.vec_id = kb)
+       SELECT cand_id, item_id, rank, {o.rnd('s', 6)} AS similarity FROM (SELECT *, row_number() OVER (
+         PARTITION BY cand_id ORDER BY s DESC, created_at, item_id) AS rank FROM sims) WHERE rank <= 10""")
 def _(t):
     vec = {"image": "image_key"}
     hits = similarity.nearest(t.vectors(t.candidates(), **vec), t.vectors(t.closet(), **vec), 10, by=["user_id"])
