@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from capsule.llm import mixing
+from capsule.llm import bpe, mixing
 
 QUERIES = {
     "op2_weighted_mixing": mixing.op2_weighted_mixing,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
 }
 
 SQL: dict[str, str] = {}
