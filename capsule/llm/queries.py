@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from capsule.llm import bpe, mixing
+from capsule.llm import bpe, classifier, jaccard, mixing
 
 QUERIES = {
     "op2_weighted_mixing": mixing.op2_weighted_mixing,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+    "op10_quality_classifier": classifier.op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {}
