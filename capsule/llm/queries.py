@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from capsule.llm import bpe, classifier, jaccard, mixing
+from capsule.llm import bpe, classifier, jaccard, mixing, warc
 
 QUERIES = {
+    "op1_warc_segments": warc.op1_warc_segments,
     "op2_weighted_mixing": mixing.op2_weighted_mixing,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
