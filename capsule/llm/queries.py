@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from capsule.llm import bpe, classifier, jaccard, mixing, warc
+from capsule.llm import bpe, classifier, jaccard, mixing, rules, warc
 
 QUERIES = {
     "op1_warc_segments": warc.op1_warc_segments,
     "op2_weighted_mixing": mixing.op2_weighted_mixing,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+    "op9_quality_rules": rules.op9_quality_rules,
     "op10_quality_classifier": classifier.op10_quality_classifier,
 }
 
