@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from capsule.llm import bpe, classifier, jaccard, mixing, rules, warc
+from capsule.llm import bpe, classifier, jaccard, mixing, rules, secrets, warc
 
 QUERIES = {
     "op1_warc_segments": warc.op1_warc_segments,
     "op2_weighted_mixing": mixing.op2_weighted_mixing,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_quality_rules": rules.op9_quality_rules,
