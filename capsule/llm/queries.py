@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from capsule.llm import bpe, classifier, jaccard, mixing, rules, secrets, warc
+from capsule.llm import bpe, classifier, fingerprints, jaccard, mixing, rules, secrets, warc
 
 QUERIES = {
     "op1_warc_segments": warc.op1_warc_segments,
     "op2_weighted_mixing": mixing.op2_weighted_mixing,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_syncmer_fingerprints": fingerprints.op5_syncmer_fingerprints,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_quality_rules": rules.op9_quality_rules,
