@@ -239,6 +239,22 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
                     F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links")))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of `docs` (doc_id, text and any others) without those that have a document of smaller doc_id in their
+    class. Rows that repeat a doc_id in a class stay once; a class without any doc_id stays whole."""
+    classes = stage(jaccard_classes(docs, n, num, den).select("doc_id", "n_shingles", "component_id"), "classes-of-documents")
+    gone = classes.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = stage(gone.select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    kept = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    again = stage(classes.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+                  .where("_n > 1").select("_id"), "repeated")
+    if not again.limit(1).count():
+        return kept
+    same = F.col("doc_id") == F.col("_id")
+    return kept.join(small(again), same, "left_anti").unionByName(
+        kept.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by sets of 3-word shingles with a similarity of 0.9 or more."""
     return jaccard_classes(table(spark, sf_dir, "documents"), 3, 9, 10)

@@ -138,7 +138,7 @@ def mixture(docs: DataFrame, size: Column, weights: Sequence[float] = (1, 2, 3),
             seed: int = 0) -> DataFrame:
     """The mix itself: the rows of `docs`, each as often as it is taken, range-sorted by virtual finish time."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    mixed = mix(docs.select("doc_id", "source", own.alias("_row")), size, weights, most, seed)
+    mixed = mix(docs.select("doc_id", "source", size.alias("size"), own.alias("_row")), F.col("size"), weights, most, seed)
     return mixed.withColumn("_finish", F.explode("passes")).orderBy("_finish", "doc_id").select("_row.*")
 
 
