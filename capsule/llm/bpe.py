@@ -29,7 +29,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from capsule.llm.common import table
 
 #: Entries of the table of encoded pieces in one Python worker.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 1_000_000
+#: Pieces up to this length have only the states that their encoding needs.
+LAZY_BYTES = 64
 NEVER = 1 << 40
 
 
@@ -42,7 +44,8 @@ class Vocabulary:
         for token, rank in self.ids.items():
             self.bytes[rank] = token
         self.longest = max(map(len, self.ids), default=1)
-        self.endings = {t[i:] for t in self.ids for i in range(len(t))}
+        # every ending of a token, with its rank if it is a token itself
+        self.endings = {t[i:]: -1 for t in self.ids for i in range(len(t))} | self.ids
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._spines: dict[tuple[int, bool], list[int]] = {}
         self._may_follow: dict[int, bool] = {}
@@ -98,6 +101,47 @@ class Vocabulary:
                 j += 1
 
 
+    def last_token(self, piece: bytes, end: int, states: dict[int, int] | list[int]) -> int:
+        """Last token of the prefix of `end` bytes; `states` holds those known (of shorter prefixes, -1: not yet) and
+        receives those found on the way."""
+        endings, start, found = self.endings, end - 1, []
+        while start >= 0:
+            token = endings.get(piece[start:end])
+            if token is None:
+                break
+            if token >= 0:
+                found.append(token)
+            start -= 1
+        while found:
+            token = found.pop()  # the longest first
+            start = end - len(self.bytes[token])
+            if not start:
+                break
+            before = states[start]
+            if before < 0:
+                before = self.last_token(piece, start, states)
+            ok = self._may_follow.get(before << 32 | token)
+            if ok is None:
+                ok = self.may_follow(before, token)
+            if ok:
+                break
+        else:
+            raise ValueError("the vocabulary lacks a byte")
+        states[end] = token
+        return token
+
+    def encode(self, piece: bytes) -> list[int]:
+        """Tokens of a piece. In a short one, only the states on the way back from its end are found."""
+        if len(piece) > LAZY_BYTES:
+            return Prefixes(self, piece).tokens()
+        states, out, end = [-1] * (len(piece) + 1), [], len(piece)
+        self.last_token(piece, end, states)
+        while end:
+            out.append(states[end])
+            end -= len(self.bytes[states[end]])
+        return out[::-1]
+
+
 class Prefixes:
     """A growing piece of bytes with the last token of each of its prefixes."""
 
@@ -109,7 +153,7 @@ class Prefixes:
         start, self.piece = len(self.piece), self.piece + more
         self.last += [-1] * len(more)
         for end in range(start + 1, len(self.piece) + 1):
-            self.last[end] = self._state(end)
+            self.vocabulary.last_token(self.piece, end, self.last)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put `new` in place of piece[start:stop]; the number of states that had to be found again."""
@@ -118,7 +162,7 @@ class Prefixes:
         self.last = old[:start + 1] + [-1] * (len(new) + tail)
         same = 0
         for end in range(start + 1, len(self.piece) + 1):
-            self.last[end] = self._state(end)
+            self.vocabulary.last_token(self.piece, end, self.last)
             before = end - len(self.piece) + len(old) - 1
             same = same + 1 if end - start - len(new) > 0 and old[before] == self.last[end] else 0
             if same >= self.vocabulary.longest:  # what follows depends on these states alone
@@ -126,20 +170,6 @@ class Prefixes:
                 return end - start
         return len(self.piece) - start
 
-    def _state(self, end: int) -> int:
-        v, piece, last, found = self.vocabulary, self.piece, self.last, []
-        for start in range(end - 1, max(-1, end - 1 - v.longest), -1):
-            part = piece[start:end]
-            if part not in v.endings:
-                break
-            token = v.ids.get(part)
-            if token is not None:
-                found.append((start, token))
-        for start, token in reversed(found):
-            if not start or v.may_follow(last[start], token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
     def tokens(self) -> list[int]:
         out, end = [], len(self.piece)
         while end:
@@ -161,7 +191,7 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.vocabulary.ids.get(raw)  # a token that is a whole prefix needs no earlier state
-        ids = [whole] if whole is not None else Prefixes(self.vocabulary, raw).tokens()
+        ids = [whole] if whole is not None else self.vocabulary.encode(raw)
         packed = self[piece] = b"".join(i.to_bytes(4, "little") for i in ids)
         return packed
 
@@ -169,7 +199,7 @@ class Encoder(dict):
         """Ids as little-endian unsigned 32-bit integers."""
         if len(self) > KEPT_PIECES:
             self.clear()
-        if len(self.vocabulary._may_follow) > 4 * KEPT_PIECES:
+        if len(self.vocabulary._may_follow) > KEPT_PIECES:
             self.vocabulary._may_follow.clear()
         return b"".join(map(self.__getitem__, self.pieces(text))) if text else b""
 
