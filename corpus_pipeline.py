@@ -30,10 +30,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan(docs)
-    masked = secrets.redacted(F.col("text"), F.col("found"))
-    size = F.when(F.size("found") > 0, F.length(masked).cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns({"text": masked, "n_chars": size}).select(docs.columns)
+    found = secrets.scan(docs).withColumn("_masked", secrets.redacted(F.col("text"), F.col("found")))
+    size = F.when(F.size("found") > 0, F.length("_masked").cast("long")).otherwise(F.col("n_chars"))
+    new = {"text": F.col("_masked"), "n_chars": size}
+    return found.select([new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
