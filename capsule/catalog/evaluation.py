@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from capsule import fixed
 from capsule.catalog import oracle as o
-from capsule.catalog.looks_sql import BASE, LOOKS, MASK
+from capsule.catalog.looks_sql import BASE, LOOKS, MASK, OWNED, OWNED_DEFAULTS, VARIED
+from capsule.catalog.looks_sql import looks as looks_sql
 from capsule.catalog.registry import CENTER, joined, query
 from capsule.functions.numbers import exact_round
 from capsule.operators import looks, similarity
@@ -144,7 +145,7 @@ def money(x: str) -> str:
     return f"('$' || CASE WHEN {x} < 100 THEN printf('%.2f', {x}) ELSE printf('%.0f', {x}) END)"
 
 
-VERDICT = LOOKS + CONTEXT + prices("cand_priced", "candidate_items") + f""",
+_VERDICT = CONTEXT + prices("cand_priced", "candidate_items") + f""",
 per_look AS MATERIALIZED (SELECT item_id, count(*) AS n, max(score) AS best, sum(score) AS weighted,
     (SELECT avg(x.score) FROM (SELECT score FROM looks y WHERE y.item_id = l.item_id ORDER BY score DESC LIMIT 5) x) AS q
   FROM looks l GROUP BY item_id),
@@ -152,23 +153,23 @@ pools AS (SELECT c.item_id,
     count(*) FILTER (i.category = 'top') AS t, count(*) FILTER (i.category = 'bottom') AS b,
     count(*) FILTER (i.category = 'outerwear') AS w, count(*) FILTER (i.category = 'dress') AS d,
     count(*) FILTER (i.category = c.category) AS same
-  FROM ca c LEFT JOIN ci i ON i.user_id = c.user_id AND (i.mask & c.mask) <> 0 GROUP BY c.item_id),
+  FROM ca c LEFT JOIN ci i ON i.user_id = c.user_id AND (c.loose OR (i.mask & c.mask) <> 0) GROUP BY c.item_id),
 pair_n AS (SELECT c.item_id, count(*) AS pairs FROM ca c
-    JOIN ci t ON t.user_id = c.user_id AND t.category = 'top' AND (t.mask & c.mask) <> 0
-    JOIN ci b ON b.user_id = c.user_id AND b.category = 'bottom' AND (b.mask & c.mask) <> 0 AND (b.mask & t.mask) <> 0
+    JOIN ci t ON t.user_id = c.user_id AND t.category = 'top' AND (c.loose OR (t.mask & c.mask) <> 0)
+    JOIN ci b ON b.user_id = c.user_id AND b.category = 'bottom' AND (c.loose OR ((b.mask & c.mask) <> 0 AND (b.mask & t.mask) <> 0))
   GROUP BY c.item_id),
 cand_typed AS MATERIALIZED (SELECT *, {typed('category', TEXTS)} AS gtype FROM cand_priced),
 type_n AS MATERIALIZED (SELECT c.item_id, count(f.item_id) AS tn FROM cand_typed c JOIN ca USING (item_id)
   LEFT JOIN (SELECT user_id, item_id, gtype, {MASK} AS mask FROM facts) f
-    ON f.user_id = c.user_id AND f.gtype = c.gtype AND (f.mask & ca.mask) <> 0 GROUP BY c.item_id),
+    ON f.user_id = c.user_id AND f.gtype = c.gtype AND (ca.loose OR (f.mask & ca.mask) <> 0) GROUP BY c.item_id),
 v0 AS (
   SELECT c.item_id, c.user_id, c.category, c.gtype, c.price, c.price_source, c.price_confidence, coalesce(l.n, 0) AS n,
     coalesce(l.q, 0.0) AS q, coalesce(l.weighted, 0.0) AS weighted, v.level, v.other, {o.rnd('v.sim', 4)} AS sim,
     same, tn, coalesce(x.bar, 0.75) AS bar, coalesce(x.bar_source, 'default') AS bar_source,
     CASE c.category WHEN 'top' THEN b * (1 + w) WHEN 'bottom' THEN t * (1 + w)
-      WHEN 'outerwear' THEN least(coalesce(pairs, 0), 40) + d WHEN 'dress' THEN 1 + w
+      WHEN 'outerwear' THEN least(coalesce(pairs, 0), ca.most) + d WHEN 'dress' THEN 1 + w
       ELSE coalesce(pairs, 0) + d END AS m
-  FROM cand_typed c LEFT JOIN per_look l USING (item_id) JOIN levels v USING (item_id) JOIN pools USING (item_id)
+  FROM cand_typed c JOIN (SELECT item_id, most FROM ca) ca USING (item_id) LEFT JOIN per_look l USING (item_id) JOIN levels v USING (item_id) JOIN pools USING (item_id)
   LEFT JOIN pair_n USING (item_id) JOIN type_n USING (item_id) LEFT JOIN context x ON x.user_id = c.user_id),
 v1 AS (
   SELECT *, {WEARS} * least(2.0, 0.5 + 0.25 * log2(1 + n)) * CASE level WHEN 'similar' THEN 0.75
@@ -196,19 +197,49 @@ verdicts AS MATERIALIZED (
   SELECT *, CASE WHEN score >= 65 THEN 'BUY' WHEN score >= 45 THEN 'CONSIDER' ELSE 'SKIP' END AS decision FROM v4)"""
 
 
-@query("candidate_verdicts", "VAL-2", "VAL-3", "VAL-4", "VAL-5", "VAL-6", "VAL-8", "VAL-9", "AGG-3", "AGG-12", "STA-5",
-       sql=o.with_(VERDICT) + f"""
+def verdict_sql(looks: str) -> str:
+    return o.with_(looks + _VERDICT) + f"""
        SELECT item_id, n AS n_outfits, m AS max_possible, pv AS versatility_points, pq AS quality_points,
          pc AS cost_points, gap AS gap_points, raw AS uncapped_score, capped AS capped_by, score, decision,
          {o.rnd('cpw', 2)} AS cost_per_wear, {o.rnd('wears', 1)} AS expected_wears, bar AS price_bar,
-         {o.rnd('weighted', 3)} AS weighted_outfits FROM verdicts""")
-def _(t):
-    return t.evaluation().results.select(
+         {o.rnd('weighted', 3)} AS weighted_outfits FROM verdicts"""
+
+
+def verdict_columns(results):
+    return results.select(
         "item_id", "n_outfits", "max_possible", "versatility_points", "quality_points", "cost_points",
         col("gap.points").alias("gap_points"), "uncapped_score", "capped_by", "score", "decision", "cost_per_wear",
         "expected_wears", "price_bar", exact_round(col("weighted_outfits"), 3).alias("weighted_outfits"))
 
 
+VERDICT = LOOKS + _VERDICT
+
+
+@query("candidate_verdicts", "VAL-2", "VAL-3", "VAL-4", "VAL-5", "VAL-6", "VAL-8", "VAL-9", "AGG-3", "AGG-12", "STA-5",
+       sql=verdict_sql(LOOKS))
+def _(t):
+    return verdict_columns(t.evaluation().results)
+
+
+@query("varied_verdicts", "CMB-4", "TOP-1", "VAL-8", "PRJ-5", sql=verdict_sql(looks_sql(settings=VARIED)))
+def _(t):
+    """Verdicts where owners differ in strictness, layers, matching and the number of pairs."""
+    from capsule.operators.attributes import default_settings
+    u = col("user_id")
+    settings = default_settings(t.candidates().select("user_id").distinct()).withColumns({
+        "compat_threshold": F.element_at(F.array(*[F.lit(x) for x in (0.4, 0.5, 0.55, 0.6)]), (u % 4 + 1).cast("int")),
+        "match_gender_presentation": u % 5 != 0, "use_shoes_layer": u % 3 != 0,
+        "max_pairs_for_layering": F.element_at(F.array(*[F.lit(x) for x in (3, 40, 100)]), (u % 7 % 3 + 1).cast("int"))})
+    return verdict_columns(t.evaluate(t.candidates(), settings).results)
+
+
+@query("owned_verdicts", "CMB-6", "VAL-8", "AGG-3", sql=verdict_sql(looks_sql(OWNED, OWNED_DEFAULTS)))
+def _(t):
+    """Verdicts of items that are owned already: one of each category of every closet, against the rest of it."""
+    first = t.closet().groupBy("user_id", "category").agg(F.min("item_id").alias("item_id"))
+    return verdict_columns(t.evaluate(t.closet().join(first.select("item_id"), "item_id", "left_semi")).results)
+
+
 _NOUN = o.case("category", fixed.NOUNS)
 _MATCH = "' (' || printf('%.2f', sim) || ' match)'"
 REASONS = VERDICT + f""",

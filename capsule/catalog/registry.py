@@ -68,11 +68,15 @@ class Tables:
     def vectors(self, items: DataFrame, **columns: str) -> DataFrame:
         return dt.with_vectors(items, self.spark, self.root, **columns)
 
+    def evaluate(self, items: DataFrame, settings: DataFrame | None = None) -> Evaluation:
+        """Items judged against the closets of the given tables."""
+        vec = {"image": "image_key", "text": "text_key", "style": "style_key"}
+        return evaluate(self.vectors(items, **vec), self.vectors(self.closet(), **vec), settings, center=CENTER)
+
     def evaluation(self) -> Evaluation:
         """One evaluation run, its results written as the saved evaluations."""
         def make():
-            vec = {"image": "image_key", "text": "text_key", "style": "style_key"}
-            e = evaluate(self.vectors(self.candidates(), **vec), self.vectors(self.closet(), **vec), center=CENTER)
+            e = self.evaluate(self.candidates())
             return Evaluation(e.candidates, e.similar, e.outfits, stage(e.results, "evaluations"))
         return self._once("evaluation", make)
 

@@ -55,9 +55,12 @@ def estimate(stored: Column, confidence: Column, source: Column, brand: Column,
         .otherwise(F.struct(table.alias("price"), F.lit("low").alias("confidence"), F.lit("table").alias("source"))))
 
 
-def _item_estimate() -> Column:
-    table = table_price([filled(col("subcategory")), filled(col("label")), filled(col("description"))],
-                        col("category"))
+def item_table_price() -> Column:
+    """Table price of an item from its category, subcategory, label and description."""
+    return table_price([filled(col("subcategory")), filled(col("label")), filled(col("description"))], col("category"))
+
+
+def _item_estimate(table: Column) -> Column:
     return estimate(col("estimated_price_usd"), col("price_confidence"), col("price_estimate_source"), col("brand"),
                     table)
 
@@ -66,10 +69,11 @@ def _item_real() -> Column:
     return real_price(col("price"), col("price_source"), col("purchase_price"))
 
 
-def effective_price(items: DataFrame, argument: Column | None = None) -> DataFrame:
-    """Adds price_used, price_used_source, price_used_confidence, estimated_price and estimate_source."""
+def effective_price(items: DataFrame, argument: Column | None = None, table: Column | None = None) -> DataFrame:
+    """Adds price_used, price_used_source, price_used_confidence, estimated_price and estimate_source. `table` is the
+    items' table price where it is known already."""
     up = positive(argument) if argument is not None else F.lit(None).cast("double")
-    staged = items.withColumns({"_real": _item_real(), "_est": _item_estimate()})
+    staged = items.withColumns({"_real": _item_real(), "_est": _item_estimate(item_table_price() if table is None else table)})
     estimated = up.isNull() & col("_real").isNull()
     return staged.withColumns({
         "price_used": F.coalesce(up, col("_real.price"), col("_est.price")),

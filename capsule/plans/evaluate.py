@@ -26,11 +26,28 @@ class Evaluation:
     results: DataFrame
 
 
+KIND = ("category", "subcategory", "label", "description")
+
+
+def kinds_of(items: DataFrame) -> DataFrame:
+    """Garment type and table price of each distinct category and texts: the rule tables run once per kind, not per
+    item. Written before and after, so that no aggregate or join is compiled together with the rules."""
+    kinds = stage(items.select(*KIND).distinct(), "kinds")
+    return stage(kinds.select(*KIND, value.type_of(value.garment_type(*[col(c) for c in KIND])).alias("garment_type"),
+                              pricing.item_table_price().alias("table_price")), "kinds-resolved")
+
+
+def with_kind(items: DataFrame, kinds: DataFrame) -> DataFrame:
+    """`items` with garment_type and table_price."""
+    named = kinds.select(*[col(c).alias(f"_{c}") for c in KIND], "garment_type", "table_price")
+    same = [col(c).eqNullSafe(col(f"_{c}")) for c in KIND]
+    return items.join(named, same).drop(*[f"_{c}" for c in KIND])
+
+
 def closet_facts(closet: DataFrame) -> DataFrame:
     """Closet items with garment type, wears, known price and estimate."""
-    texts = [col(c) for c in ("subcategory", "label", "description")]
-    typed = closet.withColumn("garment_type", value.type_of(value.garment_type(col("category"), *texts)))
-    priced = pricing.effective_price(typed)
+    typed = with_kind(closet, kinds_of(closet))
+    priced = pricing.effective_price(typed, table=col("table_price"))
     known = col("price_used_source") != "estimated"
     return priced.withColumns({
         "wears": value.base_wears(col("garment_type")),
@@ -45,15 +62,25 @@ def type_counts(facts: DataFrame) -> DataFrame:
             .groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "count"))).alias("types")))
 
 
-def closet_context(closet: DataFrame) -> DataFrame:
-    """One row per owner: pool counts, type counts and the personal price bar."""
-    facts = closet_facts(closet)
+def closet_context(closet: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row per owner: pool counts, type counts and the personal price bar. `facts` comes from `closet_facts`."""
     return (looks.pool_counts(closet).join(type_counts(facts), "user_id", "left")
             .join(value.price_bar(facts), "user_id", "left"))
 
 
-def type_count(typ, mask, free):
-    total = F.lit(0).cast("bigint")
+def own_bars(cands: DataFrame, facts: DataFrame) -> DataFrame:
+    """Price bars of the owned candidates (item_id, ...), each over its owner's closet without it; none is returned for
+    the only item of a closet. Costs a closet's distinct values for each owned candidate."""
+    owned = cands.where(col("own_category").isNotNull()).select("user_id", col("item_id").alias("judged"))
+    rest = facts.select("user_id", "item_id", "wears", "real_price", "estimated_price").join(owned, "user_id")
+    found = value.price_bar(rest.where(col("item_id") != col("judged")), "judged")
+    return owned.select("judged").join(found, "judged", "left").withColumnRenamed("judged", "item_id")
+
+
+def type_count(typ, mask, free, own_type, own_mask):
+    """Owned items of a type that a candidate's wearer would wear, itself not counted."""
+    own = (own_type == typ) & (free | (mask.bitwiseAND(own_mask) != 0))
+    total = F.when(own, -1).otherwise(0).cast("bigint")
     for m in (1, 2, 3):
         n = F.coalesce(F.try_element_at(col("types"), F.concat_ws("|", typ, F.lit(str(m)))), F.lit(0))
         total = total + F.when(free | (mask.bitwiseAND(F.lit(m)) != 0), n).otherwise(F.lit(0))
@@ -75,9 +102,9 @@ def outfit_totals(outfits: DataFrame) -> DataFrame:
 
 def evaluate(candidates: DataFrame, closet: DataFrame, settings: DataFrame | None = None, *,
              center: float = fixed.SCORE_CENTER, tau: float = fixed.SCORE_TAU,
-             cutoffs: Mapping[int, float] | None = None, long: float = 0.5,
-             max_pairs: int = fixed.DEFAULT_SETTINGS["max_pairs_for_layering"], block: int = cells.BLOCK) -> Evaluation:
-    """Verdicts of all candidates against their owners' closets.
+             cutoffs: Mapping[int, float] | None = None, long: float = 0.5, block: int = cells.BLOCK) -> Evaluation:
+    """Verdicts of all candidates against their owners' closets. A candidate that is in the closet already is judged
+    against the rest of it.
 
     Items need user_id, item_id, category, gender, created_at, the attribute columns and the vectors `image`,
     `text`, `style`. `settings` is one row per user (the defaults when missing).
@@ -89,14 +116,23 @@ def evaluate(candidates: DataFrame, closet: DataFrame, settings: DataFrame | Non
         "item_id", "redundancy_level", "top_similarity", "top_item_id", "matches"), "similar")
     # both sides are read many times from here on
     closet = stage(closet.drop("image", "text"), "closet")
-    cands = stage(looks.prepare(supported.drop("image", "text"), closet_context(closet)), "candidates")
-    made = stage(looks.outfits(cands, closet, center=center, tau=tau, cutoffs=cutoffs, long=long, max_pairs=max_pairs,
-                               levels=sim, block=block), "outfits")
+    facts = stage(closet_facts(closet), "facts")
+    own = facts.select("user_id", "item_id", col("category").alias("own_category"),
+                       looks.gender_mask(col("gender")).alias("own_mask"), col("garment_type").alias("own_type"))
+    supported = supported.drop("image", "text").join(own, ["user_id", "item_id"], "left")
+    supported = stage(looks.prepare(supported, closet_context(closet, facts)), "prepared")
+    bars = ("priced_items", "estimated_items", "price_bar", "price_bar_source")
+    without = own_bars(supported, facts).select("item_id", F.lit(True).alias("judged"),
+                                                *[col(c).alias(f"rest_{c}") for c in bars])
+    cands = stage(supported.join(without, "item_id", "left").withColumns({
+        c: F.when(col("judged"), col(f"rest_{c}")).otherwise(col(c)) for c in bars})
+        .drop("judged", *[f"rest_{c}" for c in bars]), "candidates")
+    made = stage(looks.outfits(cands, closet, center=center, tau=tau, cutoffs=cutoffs, long=long, levels=sim,
+                               block=block), "outfits")
     names = closet.select(col("item_id").alias("top_item_id"),
                           item_name(col("primary_color"), col("subcategory"), col("category")).alias("top_match_name"))
-    texts = [col(c) for c in ("subcategory", "label", "description")]
-    priced = pricing.effective_price(cands).withColumns({
-        "garment_type": value.type_of(value.garment_type(col("category"), *texts)),
+    typed = with_kind(cands, kinds_of(cands))
+    priced = pricing.effective_price(typed, table=col("table_price")).drop("table_price").withColumns({
         "max_possible": looks.most_outfits(col("category"), col("max_pairs_for_layering")),
     })
     count = F.lit(0).cast("bigint")
@@ -110,14 +146,14 @@ def evaluate(candidates: DataFrame, closet: DataFrame, settings: DataFrame | Non
                 "quality": F.coalesce("quality", F.lit(0.0)),
                 "weighted_outfits": F.coalesce("weighted_outfits", F.lit(0.0)),
                 "category_count": count,
-                "type_count": type_count(col("garment_type"), col("mask"), col("free")),
+                "type_count": type_count(col("garment_type"), col("mask"), col("free"), col("own_type"), col("own_mask")),
                 "stated_price": col("price"),
                 "price": col("price_used"), "price_source": col("price_used_source"),
                 "price_confidence": col("price_used_confidence"),
                 "price_bar_source": F.coalesce("price_bar_source", F.lit("default")),
                 "templates": looks.templates(col("category"), col("shoes_layer")),
             }))
-    return Evaluation(cands, sim, made, value.verdict(full).drop("types", "style"))
+    return Evaluation(cands, sim, made, value.verdict(full).drop("types", "style", "own_category", "own_mask", "own_type"))
 
 
 def shown_outfits(outfits: DataFrame, per_template: int = fixed.OUTFITS_PER_TEMPLATE) -> DataFrame:
