@@ -240,6 +240,18 @@ def _(t):
     return verdict_columns(t.evaluate(t.closet().join(first.select("item_id"), "item_id", "left_semi")).results)
 
 
+@query("display_orders", "CMB-11",
+       sql=o.with_(LOOKS) + f""", cats AS (SELECT item_id AS m, category AS c FROM closet_items UNION ALL SELECT item_id, category FROM candidate_items)
+       SELECT item_id, outfit_key, string_agg(m, ' > ' ORDER BY {o.case('c', fixed.DISPLAY_ORDER, '9')}) AS shown
+       FROM (SELECT item_id, outfit_key, unnest(string_split(outfit_key, '|')) AS m FROM looks) JOIN cats USING (m) GROUP BY item_id, outfit_key""")
+def _(t):
+    items = t.closet().select("item_id", "category").unionByName(t.candidates().select("item_id", "category"))
+    worn = t.evaluation().outfits.select("item_id", looks.set_key(col("members")).alias("outfit_key"), F.explode("members").alias("m"))
+    sets = (worn.join(items.select(col("item_id").alias("m"), col("category").alias("c")), "m")
+            .groupBy("item_id", "outfit_key").agg(F.collect_list(F.struct("m", "c")).alias("s")))
+    return sets.select("item_id", "outfit_key", joined(looks.display_order(col("s.m"), col("s.c")), " > ").alias("shown"))
+
+
 _NOUN = o.case("category", fixed.NOUNS)
 _MATCH = "' (' || printf('%.2f', sim) || ' match)'"
 REASONS = VERDICT + f""",

@@ -248,7 +248,7 @@ _BOXES = """, raw AS (SELECT l_orderkey AS photo_id, l_linenumber - 1 AS pos, mi
     min(l_suppkey) AS sk FROM lineitem GROUP BY l_orderkey, l_linenumber),
   b0 AS (SELECT photo_id, pos, greatest(0, least(1000, q * 17 % 900 - 20)) AS y0, greatest(0, least(1000, pk * 13 % 900)) AS x0,
     greatest(0, least(1000, q * 17 % 900 + q * 11)) AS y1, greatest(0, least(1000, pk * 13 % 900 + sk % 40 * 9)) AS x1 FROM raw),
-  boxes AS (SELECT * FROM b0 WHERE pos < 25 AND y1 > y0 AND x1 > x0 AND (y1 - y0) * (x1 - x0) >= 400)"""
+  boxes AS (SELECT * FROM b0 WHERE y1 > y0 AND x1 > x0 AND (y1 - y0) * (x1 - x0) >= 400)"""
 
 
 @query("detection_boxes", "FLT-13",

@@ -71,7 +71,7 @@ def _(t):
 
 
 @query("page_titles", "EXT-1", "TXT-8",
-       sql="""SELECT page_id, CASE WHEN length(x) <= 1000 THEN x ELSE substr(x, 1, 1000) END AS title FROM (
+       sql="""SELECT page_id, x AS title FROM (
          SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM pages)""")
 def _(t):
     return t.pages.select("page_id", extract.page_titles(col("html")).alias("title"))
@@ -291,6 +291,15 @@ def _(t):
     return listings.first_seen(r, words.store_key(col("label")), ["item_id"], ["part"], "reason").select("item_id", "part", "reason")
 
 
+@query("page_repeats", "WIN-6",
+       sql="""SELECT page_id, CASE WHEN row_number() OVER (PARTITION BY regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '/+$', '') ORDER BY page_id) > 1
+         THEN 'listed twice' END AS reason FROM (SELECT page_id, regexp_replace(url, '^([^0-9]*)[0-9]+', '\\1') AS url FROM pages)""")
+def _(t):
+    """Pages that lead to one address, told apart by a number only."""
+    p = t.pages.select("page_id", F.regexp_replace("url", "^([^0-9]*)[0-9]+", "$1").alias("url"), F.lit(None).cast("string").alias("reason"))
+    return listings.first_seen(p, urls.page_key(col("url")), [], ["page_id"], "reason").select("page_id", "reason")
+
+
 @query("cached_cleaning", "FLT-15",
        sql=PARTS + f"""SELECT part // 10 AS g, count(*) FILTER (regexp_extract(part_name, '([a-z]+)[^a-z]*$', 1) NOT IN {o.in_list(fixed.ACCESSORY_WORDS)}
            AND part % 9 <> 0) AS kept FROM parts GROUP BY ALL""")
@@ -451,7 +460,7 @@ def _(t):
 
 @query("photo_choice", "TOP-10",
        sql="""SELECT l_orderkey, arg_min(l_partkey, struct_pack(o := CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE 1 END, p := l_linenumber, k := l_partkey)) AS image
-         FROM lineitem WHERE l_linenumber <= 5 AND l_returnflag <> 'R' GROUP BY l_orderkey""")
+         FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey""")
 def _(t):
     im = t.lineitem.select("l_orderkey", (col("l_linenumber") - 1).alias("pos"), col("l_partkey").alias("image"),
                            (col("l_suppkey") % 3 == 0).alias("product_only"), (col("l_returnflag") != "R").alias("usable"))

@@ -1,13 +1,20 @@
 """Table changes, curation, statistics, colours, zero-shot labels and time rules."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from capsule import fixed
 from capsule.catalog import oracle as o
+from capsule.catalog.evaluation import VERDICT
 from capsule.catalog.registry import CENTER, query
 from capsule.functions import colors
 from capsule.functions.numbers import exact_round
 from capsule.operators import curation, lifecycle, looks, similarity, statistics
+from capsule.operators.value import price_bar
+from capsule.plans.evaluate import closet_facts
+from capsule.sources.staging import stage
 from capsule.streaming import batch, rules, stream
 
 col = F.col
@@ -120,31 +127,41 @@ def _(t):
     return lifecycle.refresh_needed(ev).select("o_orderkey", col("formula_version").alias("formula"), col("decision").alias("original_decision"))
 
 
+@query("recomputed_verdicts", "VAL-18",
+       sql=o.with_(VERDICT) + """SELECT item_id, 'OLD' AS original_decision, v.decision, v.score, TRUE AS recomputed_on_read
+         FROM verdicts v JOIN candidate_items c USING (item_id) WHERE c.part % 3 <> 2""")
+def _(t):
+    """Saved verdicts of older formulas judged again by their stored counts and the closets of today."""
+    saved = t.evaluation().results.withColumns({"formula_version": (col("part") % 3).cast("int"), "decision": F.lit("OLD")})
+    bars = price_bar(closet_facts(t.closet())).select("user_id", "price_bar", "price_bar_source")
+    return lifecycle.recompute(saved, bars).select("item_id", "original_decision", "decision", "score", "recomputed_on_read")
+
+
 @query("pairing_pools", "SET-7", "FLT-2",
        sql=BOTH + """SELECT c.item_id AS pool_id, count(*) FILTER (i.gender = 'unisex' OR c.gender = 'unisex' OR i.gender = c.gender) + 1 AS wearable
          FROM candidate_items c JOIN closet_items i ON i.user_id = c.user_id GROUP BY c.item_id""")
 def _(t):
-    c = t.candidates().select("user_id", col("item_id").alias("pool_id"), col("gender").alias("cg"), "item_id", "gender")
-    future = c.drop("item_id", "gender").join(t.closet().select("user_id", "item_id", "gender"), "user_id").unionByName(c)
-    return future.where(looks.compatible(col("gender"), col("cg"))).groupBy("pool_id").agg(F.count("*").alias("wearable"))
+    c = t.candidates().select("user_id", col("item_id").alias("pool_id"), "gender", F.lit(True).alias("match_gender_presentation"))
+    p = looks.with_pools(c, looks.pool_counts(t.closet()))
+    return p.select("pool_id", (sum(col(f"pool_{k}") for k in fixed.CATEGORIES) + 1).alias("wearable"))
 
 
 # ------------------------------------------------------------------ set scores
-def _triples(t):
-    """Up to three distinct parts of an order as a set."""
-    ids = F.slice(F.sort_array(F.collect_set(col("l_partkey"))), 1, 3)
+def _order_sets(t):
+    """The distinct parts of an order as a set."""
+    ids = F.sort_array(F.collect_set(col("l_partkey")))
     return t.lineitem.groupBy(col("l_orderkey").alias("outfit_key")).agg(ids.alias("ids")).withColumn("user_id", F.lit(0))
 
 
 @query("set_scores", "VEC-8", "VEC-9", "JN-6", "UDF-1",
        sql=o.with_(o.PARTS, o.VECTORS) + f""", m AS (SELECT l_orderkey AS k, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS r
            FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)),
-         x AS (SELECT k, r, v FROM m CROSS JOIN vec_count JOIN vecs ON vec_id = p % n WHERE r <= 3),
+         x AS (SELECT k, r, v FROM m CROSS JOIN vec_count JOIN vecs ON vec_id = p % n),
          c AS (SELECT a.k, avg(list_inner_product(a.v, b.v)) AS c FROM x a JOIN x b ON a.k = b.k AND a.r < b.r GROUP BY a.k)
          SELECT d.k AS outfit_key, {o.rnd(f"CASE WHEN d.k % 10 = 0 THEN 0.25 WHEN c IS NULL THEN 0.75 ELSE 1 / (1 + exp(-(c - {CENTER}) / 0.05)) END", 6)} AS score
          FROM (SELECT DISTINCT k FROM m) d LEFT JOIN c ON c.k = d.k""")
 def _(t):
-    sets = _triples(t)
+    sets = _order_sets(t)
     cache = sets.where(col("outfit_key") % 10 == 0).select("user_id", "outfit_key", F.lit("m1").alias("model"), F.lit(0.25).alias("score"))
 
     def score(missing):
@@ -156,6 +173,30 @@ def _(t):
     return known.select("outfit_key", exact_round(col("score"), 6).alias("score"))
 
 
+@F.pandas_udf(DoubleType())
+def _weakest(vectors: pd.Series) -> pd.Series:
+    """Smallest cosine of any two vectors of a set (unit vectors); 1 for fewer than two."""
+    def least(v):
+        if len(v) < 2:
+            return 1.0
+        m = np.stack(v).astype(float)
+        return float((m @ m.T)[np.triu_indices(len(m), 1)].min())
+    return vectors.map(least)
+
+
+@query("plugged_scores", "VEC-9", "UDF-1",
+       sql=o.with_(o.PARTS, o.VECTORS) + f""", m AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem),
+         x AS (SELECT k, p, v FROM m CROSS JOIN vec_count JOIN vecs ON vec_id = p % n),
+         c AS (SELECT a.k, min(list_inner_product(a.v, b.v)) AS c FROM x a JOIN x b ON a.k = b.k AND a.p < b.p GROUP BY a.k)
+         SELECT d.k AS outfit_key, {o.rnd('coalesce(c, 1)', 6)} AS score FROM (SELECT DISTINCT k FROM m) d LEFT JOIN c ON c.k = d.k""")
+def _(t):
+    """A scorer from outside, registered by name."""
+    looks.register_scorer("weakest_pair", _weakest)
+    rows = _order_sets(t).select("outfit_key", F.explode("ids").alias("p"))
+    v = t.vectors(rows, vec="p").groupBy("outfit_key").agg(F.collect_list("vec").alias("vecs"))
+    return v.select("outfit_key", exact_round(looks.score_sets(v, col("vecs"), "weakest_pair"), 6).alias("score"))
+
+
 @query("calibration", "CMB-7", "CMB-8",
        sql=f"""SELECT l_orderkey, l_linenumber, n, {o.rnd('least(1.0, greatest(0.0, CASE WHEN raw <= t THEN 0.5 * raw / t ELSE 0.5 + 0.5 * (raw - t) / (1 - t) END))', 9)} AS calibrated,
          {o.rnd('CASE WHEN raw <= 0.5 THEN raw / 0.5 * t ELSE t + (raw - 0.5) / 0.5 * (1 - t) END', 9)} AS cut FROM (
@@ -301,10 +342,25 @@ def _(t):
     return curation.quota_per_class(free, ["set_class"], {"separates": 8, "dress": 4}, 11, "set_id").select("set_class", "set_id")
 
 
-@query("held_out_candidates", "CUR-3")
+def _held_out() -> str:
+    picks = []
+    for i, slot in enumerate(fixed.CATEGORIES):
+        taken = "".join(f" AND set_id NOT IN (SELECT set_id FROM pick{j})" for j in range(i))
+        picks.append(f"pick{i} AS MATERIALIZED (SELECT category, set_id, item_id FROM good WHERE category = '{slot}'{taken} ORDER BY md5(set_id || '|11'), set_id LIMIT 1)")
+    return ",\n".join(picks) + "\n" + " UNION ALL ".join(f"SELECT * FROM pick{i}" for i in range(len(fixed.CATEGORIES)))
+
+
+@query("held_out_candidates", "CUR-3",
+       sql=o.with_(o.PARTS) + f""", mem AS (SELECT l_orderkey AS set_id, part AS item_id, category, label || CASE part % 11 WHEN 3 THEN ' for men' ELSE ' piece' END AS title
+           FROM lineitem JOIN parts ON l_partkey = part WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')),
+         good AS (SELECT * FROM (SELECT set_id, category, min(item_id) AS item_id, arg_min(title, item_id) AS title FROM mem
+             WHERE set_id NOT IN (SELECT set_id FROM mem WHERE regexp_matches(title, {o.q(fixed.MENS_MARK)})) GROUP BY ALL)
+           WHERE len(regexp_split_to_array(trim(title), '\\s+')) >= 3), {_held_out()}""")
 def _(t):
     used = t.orders.where(col("o_orderstatus") == "P").select(col("o_orderkey").alias("set_id"))
-    return curation.held_out(_members(t), used, fixed.CATEGORIES, 11)
+    mens = F.when(col("item_id") % 11 == 3, " for men").otherwise(" piece")
+    members = _members(t).withColumn("title", F.concat("title", mens))
+    return curation.held_out(members, used, fixed.CATEGORIES, 11)
 
 
 @query("sample_pool", "CUR-4", sql="SELECT l_orderkey, l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ORDER BY md5(l_orderkey || '_' || l_linenumber || '|12'), l_orderkey || '_' || l_linenumber LIMIT 1200")
@@ -313,7 +369,15 @@ def _(t):
     return curation.sample_pool(rows, 1200, 12, "id").select("l_orderkey", "l_linenumber")
 
 
-@query("negative_sets", "CUR-6")
+def _drawn(slot: str) -> str:
+    return f"""SELECT i AS set_no, part FROM (SELECT unnest(range(200)) AS i) JOIN (SELECT count(*) AS n FROM parts WHERE category = '{slot}') ON true
+      JOIN (SELECT part, row_number() OVER (ORDER BY md5(part || '|5'), part) - 1 AS place FROM parts WHERE category = '{slot}')
+        ON place = CAST('0x' || substr(md5(i || '|{slot}|6'), 1, 8) AS BIGINT) % n"""
+
+
+@query("negative_sets", "CUR-6",
+       sql=PARTS + f"""SELECT a.set_no, a.part AS top, b.part AS bottom, c.part AS shoes FROM ({_drawn('top')}) a
+         JOIN ({_drawn('bottom')}) b USING (set_no) JOIN ({_drawn('shoes')}) c USING (set_no)""")
 def _(t):
     pools = t.parts().select("category", col("part").alias("item_id"))
     return curation.negative_sets(pools, 200, ("top", "bottom", "shoes"), 5)
@@ -383,26 +447,54 @@ def _events(t):
                            col("event_id").alias("id"))
 
 
-@query("sliding_limit", "STR-1")
+_DAY = 24 * 3600 * 1_000_000
+
+
+def _stepwise(out: str, state: str, start: str, step: str, ok: str = "event_type <> 'error'") -> str:
+    """A rule as a recursion along each key's events: `out` and `state` of an event from the state `r` before it.
+
+    `start` gives state columns before the first event, `step` (out, state...) of an event `e` from `r`.
+    """
+    return f"""WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS key, epoch_us(ts::TIMESTAMP) AS us, {ok} AS ok,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      r AS (SELECT key, NULL::BIGINT AS id, 0::BIGINT AS n, {out}, {start} FROM (SELECT DISTINCT key FROM e)
+        UNION ALL SELECT e.key, e.id, e.n, {step} FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+      SELECT id, {state} FROM r WHERE n > 0"""
+
+
+_RECENT = f"list_filter(r.kept, lambda t: t > e.us - {_DAY})"
+
+
+@query("sliding_limit", "STR-1", sql=_stepwise("NULL::BOOLEAN AS accepted", "accepted", "[]::BIGINT[] AS kept", f"""
+        len({_RECENT}) < 3, CASE WHEN len({_RECENT}) < 3 THEN list_append({_RECENT}, e.us) ELSE {_RECENT} END"""))
 def _(t):
-    return batch.apply_rule(_events(t), rules.SlidingLimit(3, 24 * 3600))
+    return batch.apply_rule(_events(t), rules.SlidingLimit(3, 24 * 3600)).select("id", "accepted")
 
 
-@query("lockouts", "STR-3")
+@query("lockouts", "STR-3", sql=_stepwise("NULL::VARCHAR AS outcome", "outcome", "0::BIGINT AS fails, 0::BIGINT AS until", f"""
+        CASE WHEN r.until > e.us THEN 'locked' WHEN e.ok THEN 'ok' WHEN r.fails + 1 >= 5 THEN 'locked' ELSE 'invalid' END,
+        CASE WHEN r.until > e.us THEN r.fails WHEN e.ok OR r.fails + 1 >= 5 THEN 0 ELSE r.fails + 1 END,
+        CASE WHEN r.until > e.us THEN r.until WHEN e.ok THEN 0 WHEN r.fails + 1 >= 5 THEN e.us + {_DAY} ELSE r.until END""",
+                                          "event_type = 'purchase'"))
 def _(t):
     e = t.events.select(col("user_id").alias("key"), col("ts").cast("timestamp").alias("ts"), (col("event_type") == "purchase").alias("ok"),
                         col("event_id").alias("id"))
-    return batch.apply_rule(e, rules.Lockout(5, 24 * 3600))
+    return batch.apply_rule(e, rules.Lockout(5, 24 * 3600)).select("id", "outcome")
+
+
+_FRESH = f"coalesce(e.us - r.at < {_DAY}, false)"
 
 
-@query("fetch_cache", "STR-5")
+@query("fetch_cache", "STR-5", sql=_stepwise("NULL::BOOLEAN AS fetched", "fetched", "NULL::BIGINT AS at", f"""
+        NOT {_FRESH}, CASE WHEN NOT {_FRESH} AND e.ok THEN e.us ELSE r.at END"""))
 def _(t):
-    return batch.apply_rule(_events(t), rules.FetchCache(24 * 3600))
+    return batch.apply_rule(_events(t), rules.FetchCache(24 * 3600)).select("id", "fetched")
 
 
-@query("retry_gate", "STR-7")
+@query("retry_gate", "STR-7", sql=_stepwise("NULL::BOOLEAN AS started", "started", "NULL::BIGINT AS at", f"""
+        NOT {_FRESH}, CASE WHEN {_FRESH} THEN r.at WHEN e.ok THEN NULL ELSE e.us END"""))
 def _(t):
-    return batch.apply_rule(_events(t), rules.RetryGate(24 * 3600))
+    return batch.apply_rule(_events(t), rules.RetryGate(24 * 3600)).select("id", "started")
 
 
 @query("recent_events", "STR-2",
@@ -445,7 +537,11 @@ def _(t):
 def _(t):
     c = t.events.select("user_id", (col("event_id") % 40).alias("item_id"), F.when(col("event_type") == "error", "remove").otherwise("add").alias("op"),
                         "ts", F.array(col("value")).alias("vector"))
-    return stream.fold_changes(None, c).groupBy("user_id").agg(F.count("*").alias("members"))
+    # the earlier half makes the table, the later one is folded into it
+    middle = c.agg(F.percentile(F.unix_micros(col("ts").cast("timestamp")), 0.5)).scalar()
+    early = F.unix_micros(col("ts").cast("timestamp")) < middle
+    table = stage(stream.fold_changes(None, c.where(early)), "index")
+    return stream.fold_changes(table, c.where(~early)).groupBy("user_id").agg(F.count("*").alias("members"))
 
 
 @query("stale_closets", "STR-10",

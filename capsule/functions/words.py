@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,7 +72,7 @@ def category_hint(text: Column) -> Column:
     t = F.lower(blank(text))
     chain = None
     for words, category in fixed.CATEGORY_HINTS:
-        hit = t.rlike(any_of(words))
+        hit = reduce(or_, [F.contains(t, F.lit(w)) for w in words])
         chain = F.when(hit, F.lit(category)) if chain is None else chain.when(hit, F.lit(category))
     return chain
 
@@ -112,10 +114,12 @@ def unescape(text: Column) -> Column:
     return out
 
 
-def strip_tags(text: Column, limit: int = 400) -> Column:
-    """Text without tags, spaces folded, cut at a word boundary with an ellipsis beyond `limit` characters."""
+def strip_tags(text: Column, limit: int | None = None) -> Column:
+    """Text without tags, spaces folded; with a `limit`, cut at a word boundary with an ellipsis beyond it."""
     t = F.regexp_replace(blank(text), "<[^>]+>", " ")
     t = filled(F.trim(F.regexp_replace(unescape(t), r"[\s ]+", " ")))
+    if limit is None:
+        return t
     head = F.substring(t, 1, limit)
     cut = F.when(head.contains(" "), F.regexp_replace(head, r"(?s) [^ ]*$", "")).otherwise(head)
     return F.when(F.length(t) <= limit, t).when(t.isNotNull(), F.concat(cut, F.lit("…")))
@@ -125,9 +129,9 @@ def store_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(blank(c)), "[^a-z0-9]", "")
 
 
-def store_token(c: Column) -> Column:
-    """First four letters or digits of a store name (fewer when the name is shorter)."""
-    return F.substring(store_key(c), 1, 4)
+def store_token(c: Column, letters: int = 4) -> Column:
+    """First letters or digits of a store name, by which hosts and titles are matched (fewer when it is shorter)."""
+    return F.substring(store_key(c), 1, letters)
 
 
 def price_in_text(c: Column) -> Column:
@@ -153,4 +157,4 @@ def clean_title(name: Column, brand: Column, retailer: Column) -> Column:
                  & (F.length(out) > F.length(b) + 3))
         rest = F.regexp_replace(F.substr(out, F.length(b) + 1), "^[ :-]+|[ :-]+$", "")
         out = F.when(leads, rest).otherwise(out)
-    return F.substring(out, 1, 120)
+    return out

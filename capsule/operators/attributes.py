@@ -28,16 +28,17 @@ def similarity_text(color: Column, pattern: Column, subcategory: Column, categor
 
 
 def model_text(color: Column, pattern: Column, fabric: Column, subcategory: Column, category: Column,
-               label: Column) -> Column:
-    """Product-name style text: colour, pattern, two fabric words, type; every word once, in order."""
+               label: Column, fabric_words: int | None = None) -> Column:
+    """Product-name style text: colour, pattern, fabric (all its words, or the first few), type; every word once, in
+    order."""
     def words(c: Column) -> Column:
         return F.regexp_extract_all(F.lower(blank(c)), F.lit(r"(\S+)"), F.lit(1))
 
     pat = F.when(~F.lower(blank(pattern)).isin(*NO_PATTERN), pattern)
     fab = F.when(~F.lower(blank(fabric)).isin(*NO_FABRIC), fabric)
     kind = F.coalesce(filled(subcategory), filled(category))
-    text = F.array_join(F.array_distinct(F.concat(words(color), words(pat), F.slice(words(fab), 1, 2), words(kind))),
-                        " ")
+    fabric_ = words(fab) if fabric_words is None else F.slice(words(fab), 1, fabric_words)
+    text = F.array_join(F.array_distinct(F.concat(words(color), words(pat), fabric_, words(kind))), " ")
     return F.coalesce(filled(text), F.lower(F.coalesce(filled(label), F.lit("clothing item"))))
 
 

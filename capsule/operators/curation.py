@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from capsule import fixed
 from capsule.functions.rules import first_match, literal_array, lookup
 from capsule.functions.words import blank
+from capsule.sources.staging import stage
 
 col = F.col
 
@@ -51,32 +52,27 @@ def quota_per_class(rows: DataFrame, by: Sequence[str], quota: Mapping[str, int]
     return out.where(col("pick") <= lookup(col(by[0]), quota))
 
 
-def held_out(members: DataFrame, used: DataFrame, slots: Sequence[str], seed: int) -> DataFrame:
-    """One candidate per slot from sets not used so far, each set giving at most one.
+def held_out(members: DataFrame, used: DataFrame, slots: Sequence[str], seed: int, least_words: int = 3) -> DataFrame:
+    """One candidate per slot from sets not used so far and without men's marks, each set giving at most one.
 
-    Sets are taken in drawn order. For every slot the first |slots| sets are enough: earlier slots can claim at
-    most one each, so the greedy choice runs over that short list.
+    A set offers the first item it has for a slot, if its title has words enough. Sets are taken in drawn order. For
+    every slot its first |slots| sets are enough, as earlier slots can claim at most one each; that short list is
+    written, and each slot takes its first set that no earlier slot took.
     """
-    free = members.join(used.select("set_id").distinct(), "set_id", "left_anti").where(
-        col("category").isin(*slots) & (F.size(F.split(F.trim(blank(col("title"))), r"\s+")) >= 2))
-    first = free.groupBy("set_id", "category").agg(F.min("item_id").alias("item_id"))
+    mens = members.where(blank(col("title")).rlike(fixed.MENS_MARK)).select("set_id").distinct()
+    first = (members.join(used.select("set_id").distinct(), "set_id", "left_anti").join(mens, "set_id", "left_anti")
+             .where(col("category").isin(*slots)).groupBy("set_id", "category")
+             .agg(F.min(F.struct("item_id", "title")).alias("i")).select("set_id", "category", "i.*")
+             .where(F.size(F.split(F.trim(blank(col("title"))), r"\s+")) >= least_words))
     w = Window.partitionBy("category").orderBy(draw(seed, col("set_id")), "set_id")
-    short = first.withColumn("n", F.row_number().over(w)).where(col("n") <= len(slots))
-
-    def choose(pdf):
-        taken, out = set(), []
-        for s in slots:
-            for r in pdf[pdf["category"] == s].sort_values("n").itertuples():
-                if r.set_id not in taken:
-                    taken.add(r.set_id)
-                    out.append(r.Index)
-                    break
-        return pdf.loc[out, ["category", "set_id", "item_id"]]
-
-    schema = "category string, set_id " + first.schema["set_id"].dataType.simpleString() + ", item_id " + \
-        first.schema["item_id"].dataType.simpleString()
-    # len(slots) squared rows at most
-    return short.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, schema)
+    short = stage(first.withColumn("n", F.row_number().over(w)).where(col("n") <= len(slots)).drop("title"), "held-out")
+    taken = None
+    for s in slots:
+        free = short.where(col("category") == s)
+        free = free if taken is None else free.join(taken.select("set_id"), "set_id", "left_anti")
+        pick = free.orderBy("n").limit(1).select("category", "set_id", "item_id")
+        taken = pick if taken is None else taken.unionByName(pick)
+    return taken
 
 
 def sample_pool(rows: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
@@ -85,20 +81,25 @@ def sample_pool(rows: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
 
 
 def negative_sets(pools: DataFrame, n: int, slots: Sequence[str], seed: int) -> DataFrame:
-    """n sets of one random item per slot: set i takes the item whose rank in the slot's drawn order is a hash of i.
+    """n sets of one random item per slot: set i takes the item whose place in the slot's drawn order is a hash of i.
 
-    Only the first items of a slot's drawn order that can be asked for are ranked.
+    Places are counted over the whole pool: per hash bucket first, then inside the buckets, so a large pool is never
+    sorted in one task.
     """
     spark = pools.sparkSession
-    sizes = pools.where(col("category").isin(*slots)).groupBy("category").agg(
-        F.least(F.count("*"), F.lit(n)).alias("size"))
-    w = Window.partitionBy("category").orderBy(draw(seed, col("item_id")), "item_id")
-    ranked = (pools.where(col("category").isin(*slots)).withColumn("at", F.row_number().over(w) - 1)
-              .where(col("at") < n).select("category", "at", "item_id"))
+    pool = pools.where(col("category").isin(*slots)).withColumn("drawn", draw(seed, col("item_id")))
+    pool = pool.withColumn("bucket", F.substring("drawn", 1, 3))
+    counts = pool.groupBy("category", "bucket").agg(F.count("*").alias("size"))
+    ahead = Window.partitionBy("category").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    w = Window.partitionBy("category", "bucket").orderBy("drawn", "item_id")
+    ranked = (pool.withColumn("inside", F.row_number().over(w) - 1).join(counts, ["category", "bucket"])
+              .select("category", (col("ahead") + col("inside")).alias("at"), "item_id"))
+    sizes = counts.groupBy("category").agg(F.sum("size").alias("size"))
     asked = spark.range(n).select(col("id").alias("set_no"), F.explode(literal_array(slots)).alias("category")).join(
         sizes, "category")
     number = F.conv(F.substring(draw(seed + 1, col("set_no"), col("category")), 1, 8), 16, 10).cast("bigint")
-    placed = asked.withColumn("at", (number % col("size")).cast("int"))
+    placed = asked.withColumn("at", number % col("size"))
     return placed.join(ranked, ["category", "at"]).groupBy("set_no").agg(
         *[F.max(F.when(col("category") == s, col("item_id"))).alias(s) for s in slots])
 

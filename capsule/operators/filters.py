@@ -11,7 +11,7 @@ from capsule import fixed
 from capsule.functions.words import blank, head_word
 
 col = F.col
-MAX_BOXES, MIN_BOX_AREA = 25, 400
+MIN_BOX_AREA = 400
 
 
 def is_accessory(category: Column, subcategory: Column, label: Column, name: Column | None = None) -> Column:
@@ -36,11 +36,13 @@ def clamp_box(box: Column) -> Column:
     return F.transform(box, lambda v: F.greatest(F.lit(0), F.least(F.lit(1000), v.cast("int"))))
 
 
-def keep_boxes(boxes: DataFrame, *, pos: str = "pos", box: str = "box") -> DataFrame:
-    """The first boxes of each photo that are four numbers, not empty and large enough; `pos` counts raw boxes from 0."""
+def keep_boxes(boxes: DataFrame, *, pos: str = "pos", box: str = "box", first: int | None = None) -> DataFrame:
+    """Boxes that are four numbers, not empty and large enough. `first` keeps those of lower `pos` (counted from 0 over
+    all boxes of a photo) only."""
     b = clamp_box(col(box))
     high, wide = F.get(b, 2) - F.get(b, 0), F.get(b, 3) - F.get(b, 1)
-    return (boxes.where((col(pos) < MAX_BOXES) & (F.size(box) == 4)).withColumn(box, b)
+    asked = boxes if first is None else boxes.where(col(pos) < first)
+    return (asked.where(F.size(box) == 4).withColumn(box, b)
             .where((high > 0) & (wide > 0) & (high * wide >= MIN_BOX_AREA)))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from capsule import fixed
 from capsule.functions.words import blank
+from capsule.operators import value
 
 col = F.col
 
@@ -121,3 +122,13 @@ def refresh_needed(evaluations: DataFrame, current: int = fixed.FORMULA_VERSION)
     """Saved verdicts that an older formula made and that can be recomputed."""
     return evaluations.where(~col("formula_version").eqNullSafe(F.lit(current))
                              & (blank(col("decision")) != "UNSUPPORTED"))
+
+
+def recompute(evaluations: DataFrame, bars: DataFrame) -> DataFrame:
+    """Verdicts of the stale ones, made anew from their stored counts and their owners' price bars of today (`bars`:
+    user_id, price_bar, price_bar_source). original_decision keeps what was saved; nothing is written."""
+    stale = (refresh_needed(evaluations).withColumn("original_decision", col("decision"))
+             .drop("price_bar", "price_bar_source").join(bars, "user_id", "left")
+             .withColumn("price_bar_source", F.coalesce("price_bar_source", F.lit("default"))))
+    return value.verdict(stale).withColumns({"recomputed_on_read": F.lit(True),
+                                             "formula_version": F.lit(fixed.FORMULA_VERSION)})

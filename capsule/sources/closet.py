@@ -16,12 +16,15 @@ col = F.col
 
 def list_items(items: DataFrame, user: int | str | None = None, status: str | None = None,
                category: str | None = None) -> DataFrame:
-    """Items in closet order (creation time, then id) of one user, or of all users user by user."""
+    """Items in closet order (creation time, then id) of one user, or of all users. Each user's rows stand together in
+    one partition; users are in no order among each other."""
     out = items
     for name, value in (("user_id", user), ("status", status), ("category", category)):
         if value is not None:
             out = out.where(col(name) == value)
-    return out.orderBy("user_id", "created_at", "item_id")
+    if user is not None:
+        return out.orderBy("created_at", "item_id")
+    return out.repartition("user_id").sortWithinPartitions("user_id", "created_at", "item_id")
 
 
 def keyed(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:

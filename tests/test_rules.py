@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from capsule.functions import words
+from capsule.functions import answers, words
 from capsule.functions.materials import mix_of
 from capsule.functions.numbers import exact_round
 from capsule.operators import filters, listings, looks, pricing, value
@@ -76,3 +76,35 @@ def test_price_bar(spark):
                                   "user_id int, real_price double, estimated_price double, wears double")
     r = value.price_bar(mixed).first()
     assert (r.price_bar, r.price_bar_source, r.priced_items, r.estimated_items) == (1.0, "closet_estimates", 1, 2)
+
+
+ANSWER = """Voilà [see below] — "quoted, [1]:
+```json
+[ {"name": "Sage Rib Tank [2, 5]", "price": "$34", "product_url": "https://a.example.com/p", "tags": [{"x": 1}]},
+  {"brand": "nameless"}, {"name": "Línen", "price": 19.99,},
+]
+```
+and {not json} { or [this"""
+
+
+def test_records_of_an_answer():
+    found = answers.product_records(ANSWER)
+    assert [r.get("name") for r, *_ in found] == ["Sage Rib Tank [2, 5]", None, "Línen"]
+    for r, a, b, x, y in found:
+        assert ANSWER[a] == "{" and ANSWER[b - 1] == "}" and ANSWER.encode()[x:y].decode() == ANSWER[a:b]
+    wrapped = answers.product_records('noise {"note": [1], "products": [{"name": "X"}, 3, {"name": "Y"}]}')
+    assert [(r["name"], a) for r, a, *_ in wrapped] == [("X", 33), ("Y", 51)]
+    assert [r for r, *_ in answers.product_records('{"name": "solo"}')] == [{"name": "solo"}]
+    assert answers.product_records("no json") == answers.product_records("") == answers.product_records("[1, 2] {}") == []
+    assert len(answers.product_records("[" * 50_000 + '{"name": "deep"}')) == 1
+
+
+@pytest.mark.parametrize("text, method, mix", [
+    ("100% organic cotton", "percentages", [("organic_cotton", 1.0)]), ("60,5% wool / 39.5% nylon", "percentages", [("wool", 0.605), ("nylon", 0.395)]),
+    ("recycled polyester", "keywords", [("recycled_polyester", 1.0)]), ("cotton and linen", "keywords", [("cotton", 0.5), ("linen", 0.5)]),
+    ("vegan leather", "keywords", [("polyurethane", 1.0)]), ("wool mix", "blend_assumption", [("wool", 0.5), ("unknown", 0.5)]),
+    ("50% moonstone 50% silk", "percentages", [("unknown", 0.5), ("silk", 0.5)]), ("N/A", "fallback", [("unknown", 1.0)]),
+    ("cotton poly blend", "keywords", [("cotton", 0.5), ("polyester", 0.5)]), ("0% cotton", "keywords", [("cotton", 1.0)])])
+def test_material_methods(text, method, mix):
+    got = mix_of(text)
+    assert got[0] == method and sorted((m, s) for m, s, _ in got[1]) == sorted(mix)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from capsule.catalog import Tables
 from capsule.catalog.registry import CENTER
 from capsule.operators import ranking, similarity, statistics
+from capsule.operators.attributes import default_settings
+from capsule.operators.looks import compatible
 from capsule.plans.evaluate import evaluate
 from capsule.streaming import batch, rules, stream
 
@@ -131,3 +133,27 @@ def test_other_users_change_nothing(spark, root):
         e = evaluate(t.vectors(t.candidates().where(users), **VEC), t.vectors(t.closet().where(users), **VEC), center=CENTER)
         return {(r.item_id, r.score, r.n_outfits) for r in e.results.where("user_id < 3").collect()}
     assert run(3) == run(9)
+
+
+def test_one_owner_of_5000_items(spark, root):
+    """Pairs under outerwear stay within the owner's limit however the closet is cut, and the judged item is owned."""
+    t = Tables(spark, root)
+    copies = F.explode(F.sequence(F.lit(1), F.lit(25)))
+    closet = t.parts().withColumn("n", copies).withColumns({
+        "user_id": F.lit(1).cast("bigint"), "item_id": F.format_string("i%d_%02d", "part", "n"),
+        "created_at": F.lit("2024-01-01").cast("timestamp"), "status": F.lit("closet")}).drop("n")
+    assert closet.count() >= 5000
+    mine = closet.where("category = 'outerwear'").agg(F.min("item_id")).first()[0]
+    settings = default_settings(closet.select("user_id").distinct(), max_pairs_for_layering=7, use_shoes_layer=False)
+    closet = t.vectors(closet, **VEC)
+    seen = []
+    for block in (1024, 300):
+        e = evaluate(closet.where(F.col("item_id") == mine), closet, settings, center=CENTER, block=block)
+        looks = sorted(tuple(sorted(r.members)) for r in e.outfits.collect())
+        seen.append((looks, e.results.select("score", "category_count", "type_count").first()))
+        layered = [x for x in looks if len(x) == 3]
+        assert 0 < len(layered) <= 7 and all(mine in x for x in looks)
+    assert seen[0] == seen[1]
+    gender = closet.where(F.col("item_id") == mine).first()["gender"]
+    owned = closet.where("category = 'outerwear'").where(compatible(F.col("gender"), F.lit(gender))).count()
+    assert seen[0][1].category_count == owned - 1
