@@ -4,10 +4,12 @@ Two sets with similarity of at least t differ in at most H = (1 - t) / t * |smal
 universe is hashed into segments. A segment may be indexed exactly (worth one unit) or with its one-deletion
 neighbourhood as well (two units: it then also meets segments that differ in one shingle). If the units exceed H, two
 similar sets agree in at least one indexed segment: otherwise each segment would hold at least as many differences as
-its units. A document may leave out its smallest segments, those most likely to be shared by chance; for every unit that
-may be left out the total is raised by two, one for either document. `allocate` picks, for each band, how many segments
-get the neighbourhood by estimated cost (rows written and chance agreements). A set takes part in its own band and in
-that below, where its smaller partners are.
+its units. `allocate` picks, for each band, how many segments get the neighbourhood by estimated cost (rows written and
+chance agreements). A set takes part in its own band and in that below, where its smaller partners are.
+
+Exact segments have units to spare: with U of them, similar sets agree in U - H at least, so it is enough to compare
+the H + 1 rarest keys of either set, in an order that all sets share. A set leaves out its U - H - 1 most frequent keys,
+which are those of passages that many documents have; one with more keys of its own than that has no partner at all.
 
 Equal sets are one node, so copies cost one set of keys. Nodes that share a key are linked in a chain along the key, and
 chains give candidate clusters. A cluster is checked in cells of two blocks of bounded size, each pair of nodes in exactly
@@ -36,7 +38,9 @@ from capsule.sources.staging import stage
 #: Nodes and shingles that a block of a candidate cluster holds, about.
 BLOCK_NODES, BLOCK_SHINGLES = 256, 1 << 17
 #: Assumed share of shingles that other documents have too, and the cost of a chance agreement in rows.
-SHARED, CHANCE = 0.5, 100.0
+SHARED, CHANCE = 0.6, 100.0
+#: Units to spare for each unit that exact segments need.
+SPARE = 0.25
 
 
 def bands(longest: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -49,23 +53,27 @@ def bands(longest: int, num: int, den: int) -> list[tuple[int, int]]:
 
 
 def allocate(low: int, top: int, num: int, den: int) -> tuple[int, int, int] | None:
-    """Segments, those of them with neighbourhood, and units that a document may leave out; None if sets of the band
-    have no partners but equal ones."""
+    """Segments, those of them with neighbourhood, and keys that a set may leave out (only without neighbourhoods);
+    None if sets of the band have no partners but equal ones."""
     differences = (den - num) * top // num
     if not differences:
         return None
-    skip = (differences + 1) // 20
-    units, size = differences + 1 + 2 * skip, (low + top) / 2
+    need, size = differences + 1, (low + top) / 2
+
+    def spare(near: int) -> int:
+        return 0 if near else int(SPARE * need)
 
     def cost(near: int) -> float:
-        g = size / (units - near)
-        return ((units - 2 * near) * (1 + CHANCE * SHARED ** g)
-                + near * (1 + g) * (1 + CHANCE * SHARED ** max(0.0, g - 1)))
-    near = min(range((units - 2 * skip) // 2 + 1), key=cost)
-    return units - near, near, skip
+        segments = need + spare(near) - near
+        g = size / segments
+        plain = segments - near
+        chance = max(0.0, plain * SHARED ** g - spare(near)) + near * SHARED ** max(0.0, g - 1)
+        return plain + near * (1 + g) + CHANCE * chance
+    near = min(range(need // 2 + 1), key=cost)
+    return need + spare(near) - near, near, spare(near)
 
 
-def keys(shingles: np.ndarray, band: int, segments: int, near: int, skip: int) -> np.ndarray:
+def keys(shingles: np.ndarray, band: int, segments: int, near: int) -> np.ndarray:
     """Keys under which a set is indexed in a band; the first `near` segments have the neighbourhood."""
     salted = mixed(shingles + np.uint64(band + 1))
     segment = (salted % np.uint64(segments)).astype(np.int64)
@@ -76,11 +84,7 @@ def keys(shingles: np.ndarray, band: int, segments: int, near: int, skip: int) -
     stops = np.cumsum(sizes)
     sums = running[stops] - running[stops - sizes]
     salt = (np.arange(segments, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407) + np.uint64(band << 40)
-    kept = np.arange(segments)
-    if skip:
-        plain = near + np.argsort(sizes[near:], kind="stable")
-        kept = np.concatenate((np.arange(near), plain[skip:]))
-    found = mixed(sums[kept] + salt[kept])
+    found = mixed(sums + salt)
     inner = segment < near
     if near and inner.any():
         found = np.concatenate((found, mixed(sums[segment[inner]] - value[inner] + salt[segment[inner]])))
@@ -88,9 +92,9 @@ def keys(shingles: np.ndarray, band: int, segments: int, near: int, skip: int) -
 
 
 def node(shingles: np.ndarray) -> int:
-    """Identity of a set, as a signed 64-bit number."""
+    """Identity of a set, as a signed 64-bit number with a free lowest bit."""
     total = mixed(np.add.reduce(mixed(shingles + np.uint64(7)), dtype=np.uint64).reshape(1) + np.uint64(len(shingles)))
-    return int(total.astype(np.int64)[0])
+    return int(total.astype(np.int64)[0]) & ~1
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int):
@@ -112,7 +116,8 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def indexed(docs: DataFrame, n: int, num: int, den: int, longest: int) -> DataFrame:
-    """Rows (key, node): the index of all sets. Sets met before in a task are not written again."""
+    """Rows (key, entry): the index of all sets. An entry is a node in its own band, or plus one in the band below.
+    Sets met before in a task are not written again."""
     all_bands = bands(longest, num, den)
     lows = np.array([low for low, _ in all_bands])
     plans = [allocate(low, top, num, den) for low, top in all_bands]
@@ -130,19 +135,39 @@ def indexed(docs: DataFrame, n: int, num: int, den: int, longest: int) -> DataFr
                 own = int(np.searchsorted(lows, len(s), "right")) - 1
                 for band in (own - 1, own):
                     if band >= 0 and plans[band]:
-                        found.append(keys(s, band, *plans[band]))
-                        owner.append((who, len(found[-1])))
+                        found.append(keys(s, band, *plans[band][:2]))
+                        owner.append((who + own - band, len(found[-1])))
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(found).astype(np.int64)),
-                     pa.array(np.repeat(np.array([w for w, _ in owner], np.int64), [c for _, c in owner]))], ["key", "node"])
-    return docs.select("text").mapInArrow(run, "key long, node long")
+                     pa.array(np.repeat(np.array([w for w, _ in owner], np.int64), [c for _, c in owner]))], ["key", "entry"])
+    return docs.select("text").mapInArrow(run, "key long, entry long")
+
 
+def shared(index: DataFrame) -> DataFrame:
+    """Distinct rows (key, entry) of keys that at least two entries have."""
+    along = Window.partitionBy("key").orderBy("entry")
+    near = index.select("key", "entry", F.lag("entry").over(along).alias("before"), F.lead("entry").over(along).alias("after"))
+    return near.where("before <> entry or after <> entry").select("key", "entry").distinct()
 
-def chains(index: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that follow one another under a key."""
+
+def chains(index: DataFrame, members: DataFrame, num: int, den: int, longest: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that follow one another under a key, once each entry has left out its most
+    frequent keys."""
+    hits = stage(shared(index), "shared-keys")
+    all_bands = bands(longest, num, den)
+    lows = F.array(*[F.lit(low) for low, _ in all_bands])
+    spare = F.array(*[F.lit((allocate(low, top, num, den) or (0, 0, 0))[2]) for low, top in all_bands])
+    sizes = members.where("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("size"))
+    below = F.col("entry").bitwiseAND(1)
+    band = F.size(F.filter(lows, lambda x: x <= F.col("size"))) - 1 - below
+    most_frequent = Window.partitionBy("entry").orderBy(F.col("count").desc(), F.col("key").desc())
+    rare = (hits.join(hits.groupBy("key").agg(F.count("*").alias("count")), "key")
+            .withColumn("place", F.row_number().over(most_frequent))
+            .withColumn("node", F.col("entry") - below).join(sizes, "node")
+            .where(F.col("place") > F.get(spare, band.cast("int"))))
     before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
-    return index.select(before.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    return rare.select(before.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
 def verify(batch: pa.Table, num: int, den: int) -> pa.Table:
@@ -218,7 +243,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     """
     members = stage(nodes(docs, n), "nodes")
     longest = members.agg(F.max("n_shingles")).first()[0] or 0
-    candidates = components(chains(indexed(docs, n, num, den, longest)))
+    index = indexed(docs, n, num, den, longest)
+    candidates = components(chains(index, members, num, den, longest))
 
     def check(batch: pa.Table) -> pa.Table:
         # a node whose doc_id is repeated may have come more than once

@@ -302,7 +302,7 @@ def test_one_deletion_neighbourhoods_find_every_partner():
             a = rng.integers(0, 1 << 62, 40).astype(np.uint64)
             changed = 2 * near + 1  # units: 2 near + 2 plain, so 2 near + 1 differences are found
             b = np.concatenate((a[changed // 2:], rng.integers(0, 1 << 62, changed - changed // 2).astype(np.uint64)))
-            one, other = (set(jaccard.keys(np.unique(x), 3, near + 2, near, 0).tolist()) for x in (a, b))
+            one, other = (set(jaccard.keys(np.unique(x), 3, near + 2, near).tolist()) for x in (a, b))
             assert one & other
 
 
