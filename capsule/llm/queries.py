@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from capsule.llm import bpe, classifier, fingerprints, jaccard, mixing, rules, secrets, warc
+from capsule.llm import bpe, classifier, fingerprints, jaccard, language, mixing, rules, secrets, warc
 
 QUERIES = {
     "op1_warc_segments": warc.op1_warc_segments,
     "op2_weighted_mixing": mixing.op2_weighted_mixing,
+    "op3_language_id": language.op3_language_id,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_syncmer_fingerprints": fingerprints.op5_syncmer_fingerprints,
     "op7_byte_bpe": bpe.op7_byte_bpe,
