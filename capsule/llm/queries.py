@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capsule.llm import bpe, classifier, fingerprints, jaccard, language, mixing, rules, secrets, warc
+from capsule.llm import bpe, classifier, fingerprints, jaccard, language, licenses, mixing, rules, secrets, warc
 
 QUERIES = {
     "op1_warc_segments": warc.op1_warc_segments,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language.op3_language_id,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_syncmer_fingerprints": fingerprints.op5_syncmer_fingerprints,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_quality_rules": rules.op9_quality_rules,
