@@ -142,7 +142,8 @@ def _answers(t):
     item = F.concat(F.lit('{"name": "'), col("label"), F.lit(" "), col("part").cast("string"), F.lit(' [1]", "price": "$'),
                     (col("part") % 200 + 1).cast("string"), F.lit('.50", "product_url": "https://st'), (col("part") % 5).cast("string"),
                     F.lit(".example.com/p/"), col("part").cast("string"), F.lit('", "retailer": "St'), (col("part") % 5).cast("string"),
-                    F.lit(' Shop", "category": "'), col("category"), F.lit('", "why": "né '), col("pattern"), F.lit('"}'))
+                    F.lit(' Shop", "category": "'), col("category"), F.lit('", "why": "né '), col("pattern"), F.lit('", "formality": '), (col("part") % 5 + 1).cast("string"),
+                    F.lit(', "style_tags": ["'), F.get("style_tags", 0), F.lit('", "", "x"]}'))
     rows = p.select((F.floor(col("part") / 8)).alias("response_id"), F.struct("part", item.alias("j")).alias("s"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda e: e["j"]), ", ")
     return rows.groupBy("response_id").agg(F.concat(F.lit("Voilà [see] these:\n```json\n["), body, F.lit(",]\n```\nEnjoy.")).alias("text"))
@@ -150,9 +151,11 @@ def _answers(t):
 
 @query("answer_products", "EXT-9", "TXT-7", "UDTF-1",
        sql=PARTS + """SELECT part // 8 AS response_id, part % 8 AS pos, label || ' ' || part AS name, (part % 200 + 1.5)::DOUBLE AS price,
-         'https://st' || part % 5 || '.example.com/p/' || part AS product_url, 'St' || part % 5 || ' Shop' AS retailer, category FROM parts""")
+         'https://st' || part % 5 || '.example.com/p/' || part AS product_url, 'St' || part % 5 || ' Shop' AS retailer, category,
+         (part % 5 + 1)::INT AS formality, style_tags[1] || '|x' AS style_tags FROM parts""")
 def _(t):
-    return extract.products(_answers(t)).select("response_id", col("pos").cast("bigint").alias("pos"), "name", "price", "product_url", "retailer", "category")
+    return extract.products(_answers(t)).select("response_id", col("pos").cast("bigint").alias("pos"), "name", "price", "product_url", "retailer", "category",
+                                                 "formality", joined(col("style_tags")).alias("style_tags"))
 
 
 @query("answer_reasons", "EXT-10",
@@ -166,11 +169,15 @@ def _(t):
          FROM parts, (SELECT unnest(range(8)) AS chunk) WHERE chunk = part % 8 OR (chunk < 5 AND chunk = part % 5)""")
 def _(t):
     p = extract.products(_answers(t))
-    supports = p.select("response_id", (col("start_byte") + 2).alias("s_start"), (col("end_byte") - 2).alias("s_end"),
-                        col("pos").alias("chunk_pos"), col("pos").alias("support_pos"))
-    n = p.select("response_id").distinct().withColumn("chunk_pos", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    chunks = n.withColumns({"uri": F.concat(F.lit("redirect/"), "chunk_pos"), "title": F.lit("page"),
-                            "domain": F.when(col("chunk_pos") < 5, F.concat(F.lit("st"), "chunk_pos", F.lit("shop.example.com")))})
+    # the metadata of an answer: a support for each product's place, the first without a start
+    place = F.struct(F.when(col("pos") > 0, col("start_byte") + 2).alias("start_index"), (col("end_byte") - 2).alias("end_index"))
+    support = F.struct("pos", F.struct(place.alias("segment"), F.array("pos").alias("chunk_indices")).alias("s"))
+    page = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(F.struct(
+        F.concat(F.lit("redirect/"), i.cast("string")).alias("uri"), F.lit("page").alias("title"),
+        F.when(i < 5, F.concat(F.lit("st"), i.cast("string"), F.lit("shop.example.com"))).alias("domain")).alias("web")))
+    responses = p.groupBy("response_id").agg(F.sort_array(F.collect_list(support)).alias("places")).select(
+        "response_id", F.to_json(F.struct(page.alias("chunks"), F.transform("places", lambda x: x["s"]).alias("supports"))).alias("metadata"))
+    chunks, supports = extract.grounding(responses)
     return extract.citations(p, supports, chunks).select("response_id", col("pos").cast("bigint").alias("pos"),
                                                          col("chunk_pos").cast("bigint").alias("chunk_pos"), "via")
 

@@ -260,6 +260,32 @@ def _(t):
     return z.select("vec_id", "label", exact_round(col("probability"), 6).alias("probability"))
 
 
+_LEAST = fixed.ACCESSORY_MIN_PROB
+
+
+@query("zero_shot_items", "VEC-7",
+       sql=f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT label, min(vec_id) AS id FROM embeddings GROUP BY label),
+         p AS (SELECT l.label, label % 3 = 0 AS acc, e.v FROM l JOIN e ON e.vec_id = l.id),
+         s AS (SELECT e.vec_id, p.label, acc, round(list_inner_product(e.v, p.v), 12) AS s FROM e, p),
+         t AS (SELECT vec_id, arg_max(struct_pack(l := label, a := acc), struct_pack(s := s, l := -label)) AS best, max(s) AS top,
+             arg_max(label, struct_pack(s := s, l := -label)) FILTER (NOT acc) AS other FROM s GROUP BY vec_id),
+         m AS (SELECT vec_id, any_value(best) AS best, any_value(other) AS other, 1 / sum(exp(100 * (s - top))) AS p FROM s JOIN t USING (vec_id) GROUP BY vec_id),
+         f AS (SELECT vec_id, best.a AND p >= {_LEAST} AS accessory, CASE WHEN best.a AND p >= {_LEAST} THEN best.l ELSE other END AS label FROM m),
+         g AS (SELECT e.vec_id, round(list_inner_product(e.v, a.v), 12) AS m, round(list_inner_product(e.v, b.v), 12) AS w FROM e
+           JOIN e a ON a.vec_id = 0 JOIN e b ON b.vec_id = 1)
+         SELECT vec_id, label::VARCHAR AS label, accessory, CASE WHEN accessory THEN NULL WHEN label % 5 = 1 THEN 'womens'
+           WHEN abs(m - w) < {fixed.GENDER_TIE} THEN 'unisex' WHEN m > w THEN 'mens' ELSE 'womens' END AS gender FROM f JOIN g USING (vec_id)""")
+def _(t):
+    """Labels divisible by three stand for accessories, every fifth for dresses; two vectors for the gender prompts."""
+    e = t.embeddings.select("vec_id", col("embedding").alias("vector"), "label")
+    first = e.groupBy("label").agg(F.min_by("vector", "vec_id").alias("vector")).select(
+        col("label").cast("string").alias("label"), col("label").alias("ord"), "vector", (col("label") % 3 == 0).alias("accessory"),
+        F.when(col("label") % 5 == 1, "dress").otherwise("top").alias("category"))
+    prompt = lambda i: e.where(col("vec_id") == i).select("vector").scalar()
+    z = similarity.zero_shot_items(e.drop("label").withColumns({"_m": prompt(0), "_w": prompt(1)}), first, col("_m"), col("_w"), item_id="vec_id")
+    return z.select("vec_id", "label", "accessory", "gender")
+
+
 # ------------------------------------------------------------------ colours
 _F = "CASE WHEN {x} > 0.008856 THEN cbrt({x}) ELSE 7.787 * {x} + 16.0 / 116.0 END"
 
