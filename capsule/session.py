@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -22,6 +24,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
+        # workers find the package wherever the session is started from
+        "spark.executorEnv.PYTHONPATH": str(Path(__file__).resolve().parent.parent),
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
