@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capsule.llm import bpe, classifier, fingerprints, jaccard, language, licenses, mixing, rules, secrets, warc
+from capsule.llm import bpe, classifier, fingerprints, jaccard, language, licenses, mixing, rules, secrets, sql, warc
 
 QUERIES = {
     "op1_warc_segments": warc.op1_warc_segments,
@@ -17,4 +17,9 @@ QUERIES = {
     "op10_quality_classifier": classifier.op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {}
+#: The others hash words or keys, learn weights or merge tokens; tests compare them with plain versions.
+SQL = {
+    "op1_warc_segments": sql.ARCHIVES,
+    "op4_secret_scan": sql.SECRETS,
+    "op8_ngram_jaccard": sql.CLASSES,
+}
