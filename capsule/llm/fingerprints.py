@@ -11,7 +11,7 @@ Everything is built-in functions on arrays. Comparing each document with the nex
 much of the next text as the edit takes; documents find their neighbour over id ranges, never in one task.
 
 Defined cases. Null or empty text, or only white space: no anchors; two such texts have likeness 1, one with another 0.
-Order of documents: doc_id, then the text's digest; nulls last. Rows with equal doc_id and text are one document here
+Order of documents: doc_id, then a hash of the text; nulls last. Rows with equal doc_id and text are one document here
 and give equal rows. A single document is its own next one. Empty table: empty result. Columns of the input stay, those
 named like an added one are replaced.
 """
@@ -25,8 +25,8 @@ from capsule.llm.common import bind, small, table
 from capsule.sources.staging import stage
 
 K, S, PIECE = 6, 2, 24
-#: Bits kept of an anchor's hash.
-HASH_DIGITS = 8
+#: Bits kept of an anchor's hash in a fingerprint.
+KEPT_BITS = (1 << 31) - 1
 
 
 def tokens(text: Column) -> Column:
@@ -82,11 +82,12 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
 def fingerprint(found: Column) -> Column:
     """The anchors' hashes, eight hexadecimal digits each, in text order."""
-    return F.array_join(F.transform(found, lambda x: F.right(F.lpad(F.hex(x), F.lit(16), F.lit("0")), F.lit(HASH_DIGITS))), "")
+    return F.array_join(F.transform(found, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
 
 def hashes(text: Column) -> Column:
-    return F.transform(anchors(text), lambda x: x["hash"])
+    """The kept bits of the anchors' hashes in text order: array<int>, half the size to move."""
+    return F.transform(anchors(text), lambda x: x["hash"].bitwiseAND(KEPT_BITS).cast("int"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -130,7 +131,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Row per document of `docs` (doc_id, text): doc_id, text, n_chars, head (the start of the next text that replaces
     the end of this one), next_hashes (anchors of the next text)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")) \
-        .withColumn("n_chars", F.length("text").cast("long")).withColumn("digest", F.sha2("text", 256))
+        .withColumn("n_chars", F.length("text").cast("long")).withColumn("digest", F.xxhash64("text"))
     narrow = stage(rows.groupBy("doc_id", "digest").agg(F.first("n_chars").alias("n_chars")), "keys")
     pairs = stage(neighbours(narrow).select(
         F.col("next.doc_id").alias("_next"), F.col("next.digest").alias("_digest"), F.col("doc_id").alias("for_id"),
