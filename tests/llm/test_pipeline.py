@@ -39,9 +39,9 @@ def test_stages(spark, root):
     assert len(back) == before.count() and all(r.decoded == text[r.doc_id] for r in back)
 
 
-def test_run_agrees_with_the_stages(spark, root):
-    first = sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, root).collect())
-    assert first and first == sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, root).collect())
+def test_run(spark, root):
+    got = corpus_pipeline.run(spark, root).collect()
+    assert got and all(r.n_tokens == len(r.ids) for r in got)
 
 
 def test_pipeline_on_an_empty_table(spark, tmp_path, root):
