@@ -1,8 +1,8 @@
 """Licence scans: sparse TF-IDF cosine of lines to licence templates, and inheritance along directories.
 
-Every line of every text is a candidate header. It is compared with templates as a vector of words, weighted by inverse
-document frequency over all texts; a line takes part if it has a template's telling word (one that few lines of prose
-share, derived from the templates and their weights). A text that is little else than licence is a licence file and
+Every line of every text, and every run of as many words as a template has, is a candidate header. It is compared with
+templates as a vector of words, weighted by inverse document frequency over all texts. A text takes part if it has a telling
+word: without one of these, the cosine cannot reach the limit (`needed`), so nothing is lost. A text that is little else than licence is a licence file and
 licenses its directory. A text without a header of its own takes the licence of the nearest directory above it that has
 one, found by joining the directories on its path with the licensed ones.
 
@@ -17,31 +17,49 @@ like an added one are replaced.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capsule.llm.common import bind, small, table
+from capsule.llm.common import small, table
 from capsule.sources.staging import stage
 
+#: The notice of the GNU licences, which only the version tells apart.
+NOTICE = ("This {} is free software: you can redistribute it and/or modify it under the terms of the {} Public License as published "
+          "by the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
 #: Short forms of licence headers, by SPDX identifier; the long ones begin alike.
 TEMPLATES = {
     "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",
-                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    "Apache-1.1": ("Licensed under the Apache License, Version 1.1.",),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", NOTICE.format("program", "GNU General", 3)),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", NOTICE.format("program", "GNU General", 2)),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", NOTICE.format("library", "GNU Lesser General", 3)),
+    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.", NOTICE.format("library", "GNU Lesser General", 2.1)),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", NOTICE.format("program", "GNU Affero General", 3)),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted",
                      "Use of this source code is governed by a BSD-style license"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.",),
+    "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.",),
+    "CC-BY-3.0": ("Licensed under CC BY 3.0.",),
+    "CC-BY-SA-3.0": ("Licensed under CC BY-SA 3.0.",),
     "proprietary": ("All rights reserved.",),
 }
 #: Cosine from which a line is a header, and share of a text's words from which it is a licence file.
 SIMILAR, MOSTLY = 0.7, 0.5
-#: Words that a header must have one of: the rarest of each template.
-TELLING = 2
+#: Words of a template that may be telling: no fixed number, the bound of the cosine decides (`needed`).
+TELLING = None
+#: By how much bounds are wider than they are, for rounding.
+CLOSE = 1e-8
 
 TOKEN = r"[a-z0-9][a-z0-9.-]*[a-z0-9]|[a-z0-9]"
 
@@ -68,48 +86,96 @@ def word_weights(docs: DataFrame, words: list[str]) -> DataFrame:
             .select("word", (F.log(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")))
 
 
+def needed(vector: Mapping[str, float], idf: Mapping[str, float], least: float) -> set[str]:
+    """Words of a template without which no words reach a cosine of `least`: what is left of the template's length bounds
+    the cosine. Of the many such sets, one of words that few texts hold."""
+    left, limit, out = sum(x * x for x in vector.values()), (least - CLOSE) ** 2 * sum(x * x for x in vector.values()), set()
+    for w in sorted(vector, key=lambda w: (math.exp(-idf[w]) / vector[w] ** 2, w)):
+        if left < limit:
+            break
+        left -= vector[w] ** 2
+        out.add(w)
+    return out
+
+
+def holds(text: Column, some: set[str]) -> Column:
+    """Whether a text may have one of some words."""
+    cue = r"(?<![a-z0-9])(" + "|".join(re.escape(w) for w in sorted(some)) + r")(?![a-z0-9])"
+    return F.lower(text).rlike(cue)
+
+
+def squared(words: Column) -> Column:
+    """Square of the length of (word, idf) rows as a vector: counts, weighted."""
+    return F.aggregate(F.array_distinct(words), F.lit(0.0), lambda a, w: a + F.pow(
+        F.size(F.filter(words, lambda x: x["word"] == w["word"])) * w["idf"], F.lit(2)))
+
+
+def spans(placed: DataFrame, lengths: list[int], licenses: list[str], similar: float) -> DataFrame:
+    """Rows (_key, line, pos, n, cosine, license): windows as long as a template, and whole lines, that are headers.
+    `placed` has the words of texts (_key, line, pos, word, idf, telling, x), x the parts of the templates' cosines."""
+    longest = max(lengths)
+    along = Window.partitionBy("_key").orderBy("pos")
+    near = (placed.withColumn("near", F.max("telling").over(along.rowsBetween(1 - longest, longest - 1))).where("near").drop("near"))
+    dots = {f"d{i}": F.sum(F.get("x", F.lit(i))).over(along.rangeBetween(0, n - 1)) for i, n in enumerate(lengths)}
+    # equal words of a window are squared apart, which bounds its length from below
+    squares = {f"q{n}": F.sum(F.pow("idf", F.lit(2))).over(along.rangeBetween(0, n - 1)) for n in sorted(set(lengths))}
+    ahead = F.collect_list(F.struct("word", "idf")).over(along.rangeBetween(0, longest - 1))
+    fits = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.coalesce(f"d{i}", F.lit(0.0)).alias("dot"), F.col(f"q{n}").alias("q"),
+                                       F.lit(name).alias("license")) for i, (n, name) in enumerate(zip(lengths, licenses))]),
+                    lambda f: f["dot"] >= (similar - CLOSE) * F.sqrt(f["q"]))
+    windows = (near.select("_key", "line", "pos", ahead.alias("words"), *[c.alias(n) for n, c in (dots | squares).items()])
+               .select("_key", "line", "pos", "words", F.explode(fits).alias("f"))
+               .select("_key", "line", "pos", F.slice("words", 1, F.col("f.n")).alias("words"), "f.dot", "f.license"))
+    of_line = Window.partitionBy("_key", "line")
+    told = placed.withColumn("told", F.max("telling").over(of_line)).where("told")
+    lines = (told.groupBy("_key", "line").agg(F.min("pos").alias("pos"), F.count("*").alias("n"), F.array(*[
+        F.struct(F.coalesce(F.sum(F.get("x", F.lit(i))), F.lit(0.0)).alias("dot"), F.lit(name).alias("license")) for i, name in enumerate(licenses)]).alias("f"))
+        .withColumn("f", F.array_max("f")))
+    counts = told.groupBy("_key", "line", "word").agg((F.count("*") * F.first("idf")).alias("v"))
+    lines = (lines.join(counts.groupBy("_key", "line").agg(F.sum(F.pow("v", F.lit(2))).alias("q")), ["_key", "line"])
+             .select("_key", "line", "pos", "n", "q", "f.dot", "f.license"))
+    windows = windows.select("_key", "line", "pos", F.size("words").cast("long").alias("n"), squared(F.col("words")).alias("q"), "dot", "license")
+    return (windows.unionByName(lines).withColumn("cosine", F.round(F.least(F.lit(1.0), F.col("dot") / F.sqrt("q")), 9))
+            .where(F.col("cosine") >= similar).select("_key", "line", "pos", "n", "cosine", "license"))
+
+
 def headers(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, similar: float = SIMILAR) -> DataFrame:
-    """`docs` (text and any others) with `header`: (cosine, line, license, share) of its best line, or null; `share` is
-    the part of the text's words that stand in header lines."""
+    """`docs` (text and any others, text left out) with `header`: (cosine, line, license, share) of its best header, or
+    null; `share` is the part of the text's words that stand in headers."""
     spark = docs.sparkSession
-    bag = template_words(spark, templates)
-    weights = stage(word_weights(docs, sorted(r.word for r in bag.select("word").distinct().collect())), "idf").collect()
+    bag = template_words(spark, templates).collect()  # fixed size: the templates' words
+    weights = stage(word_weights(docs, sorted({r.word for r in bag})), "idf").collect()
     idf = {r.word: r.idf for r in weights}
     unseen = float(max(idf.values(), default=1.0))  # words of no template weigh as the rarest
     by_template: dict[tuple[str, str], dict[str, float]] = {}
-    for r in bag.collect():  # fixed size: the templates' words
+    sizes: Counter = Counter()
+    for r in bag:
         by_template.setdefault((r.template, r.license), {})[r.word] = r.tf * idf[r.word]
-    telling = sorted({w for v in by_template.values() for w in sorted(v, key=lambda w: (-idf[w], w))[:TELLING]})
-    known = F.create_map(*[F.lit(x) for w in sorted(idf) for x in (w, idf[w])])
-
-    def cosine(words: Column, vector: dict[str, float]) -> Column:
-        norm = sum(x * x for x in vector.values()) ** 0.5
-        weight = F.create_map(*[F.lit(x) for w in sorted(vector) for x in (w, vector[w] * idf[w] / norm)])
-        return F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(weight, w), F.lit(0.0)))
-
-    def scored(line: Column, i: Column) -> Column:
-        def measure(words: Column) -> Column:
-            distinct = F.array_distinct(words)
-            # counts of a line's words, squared and weighted
-            square = F.aggregate(distinct, F.lit(0.0), lambda a, w: a + F.pow(
-                F.size(F.filter(words, lambda x: x == w)) * F.coalesce(F.try_element_at(known, w), F.lit(unseen)), F.lit(2)))
-            options = F.array(*[F.struct(cosine(words, v).alias("cosine"), F.lit(license).alias("license"))
-                                for (_, license), v in sorted(by_template.items())])
-            return bind(square, lambda q: bind(F.array_max(options), lambda o: F.struct(
-                F.round(F.least(F.lit(1.0), o["cosine"] / F.sqrt(q)), 9).alias("cosine"), (-i).alias("line"), o["license"].alias("license"),
-                F.size(words).alias("words"))))
-        return bind(tokens(line), measure)
-    cue = r"(?i)(?<![a-z0-9])(" + "|".join(w.replace(".", r"\.") for w in telling) + r")(?![a-z0-9])"
-    text = F.coalesce("text", F.lit(""))
-    numbered = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(cue))
-    found = F.filter(F.transform(numbered, lambda s: scored(s["x"], s["i"])), lambda h: h["cosine"] >= similar)
-
-    def best(h: Column) -> Column:
-        spent = F.aggregate(h, F.lit(0), lambda a, x: a + x["words"])
-        top = F.array_max(h)
-        return F.when(F.size(h) > 0, F.struct(top["cosine"].alias("cosine"), (-top["line"]).alias("line"), top["license"].alias("license"),
-                                              (spent / F.greatest(F.size(tokens(text)), F.lit(1))).alias("share")))
-    return docs.drop("header").withColumn("header", F.when(text.rlike(cue), bind(found, best)))
+        sizes[r.template, r.license] += r.tf
+    order = sorted(by_template)
+    telling = set().union(*[needed(v, idf, similar) for v in by_template.values()])
+    length = {k: sum(x * x for x in v.values()) ** 0.5 for k, v in by_template.items()}
+    parts = [(w, idf[w], w in telling, [by_template[k].get(w, 0.0) * idf[w] / length[k] for k in order]) for w in sorted(idf)]
+    known = F.broadcast(spark.createDataFrame(parts, "word string, idf double, telling boolean, x array<double>"))
+
+    asked = holds(F.col("text"), telling)
+    read = stage(docs.drop("header").withColumns({"_key": F.when(asked, F.md5("text")), "text": F.when(asked, F.col("text"))}), "asked")
+    texts = read.where("_key is not null").groupBy("_key").agg(F.first("text").alias("text"))
+    placed = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, i: F.transform(
+        tokens(x), lambda w: F.struct(i.alias("line"), w.alias("word")))))
+    placed = stage(texts.select("_key", F.posexplode(placed).alias("pos", "w")).select("_key", "pos", "w.line", "w.word"), "words")
+    weighed = placed.join(known, "word", "left").withColumns({
+        "idf": F.coalesce("idf", F.lit(unseen)), "telling": F.coalesce("telling", F.lit(False))})
+    hits = stage(spans(weighed, [sizes[k] for k in order], [name for _, name in order], similar), "hits")
+    spent = hits.select("_key", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos")).distinct().groupBy("_key").agg(F.count("*").alias("spent"))
+    best = hits.groupBy("_key").agg(F.max(F.struct("cosine", (-F.col("line")).alias("line"), "license")).alias("top"))
+    found = (best.join(spent, "_key").join(placed.groupBy("_key").agg(F.count("*").alias("words")), "_key")
+             .select("_key", F.struct("top.cosine", (-F.col("top.line")).alias("line"), "top.license",
+                                      (F.col("spent") / F.col("words")).alias("share")).alias("header")))
+    found = small(stage(found, "found"))
+    read = read.drop("text")
+    none = read.where("_key is null").withColumn("header", F.lit(None).cast(found.schema["header"].dataType))
+    return read.where("_key is not null").join(found, "_key", "left").unionByName(none).drop("_key")
 
 
 def directories(path: Column) -> Column:
@@ -124,7 +190,7 @@ def licenses(files: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLA
     """`files` (path, text and any others, text left out) with license, cosine, origin (header, inherited or null) and
     directory, the one inherited from."""
     added = ("header", "license", "cosine", "origin", "directory")
-    own = stage(headers(files.drop(*added), templates, similar).drop("text"), "headers")
+    own = stage(headers(files.drop(*added), templates, similar), "headers")
     file_of = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", ""))
     licensed = (own.where(F.col("header.share") >= mostly).select(file_of.alias("_dir"), "header", "path").where("_dir is not null")
                 .groupBy("_dir").agg(F.min(F.struct((-F.col("header.cosine")).alias("c"), "path", "header")).alias("m"))

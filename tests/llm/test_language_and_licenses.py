@@ -126,6 +126,19 @@ def test_licenses_by_the_definition(spark):
     assert licenses.licenses(df.limit(0)).count() == 0
 
 
+def test_headers_inside_and_across_lines(spark):
+    other = " ".join(f"w{i}" for i in range(40))
+    gpl = "This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n" \
+          " * the Free Software Foundation; either version {} of the License, or\n * (at your option) any later version.\n"
+    texts = [(f"{other} Licensed under the Apache License, Version 2.0. {other}", "Apache-2.0"), (other + "\n/* " + gpl.format(3) + other, "GPL-3.0"),
+             (other + "\n/* " + gpl.format(2) + other, "GPL-2.0"), (f"{other}\nLicensed under\nCC BY-SA 4.0.\n{other}", "CC-BY-SA-4.0"),
+             (f"{other}\nRedistribution and use in source and with or without modification, are permitted\n", "BSD-3-Clause"), (other, None)]
+    df = spark.createDataFrame([(f"d{i}/x", t) for i, (t, _) in enumerate(texts)], "path string, text string")
+    got = {r.path: r for r in licenses.licenses(df).collect()}
+    assert [got[f"d{i}/x"].license for i in range(len(texts))] == [name for _, name in texts]
+    assert got["d0/x"].cosine == 1
+
+
 def test_licenses_of_the_documents(spark, root):
     got = {r.doc_id: r for r in queries.QUERIES["op6_license_scan"](spark, root).collect()}
     for r in spark.read.parquet(f"{root}/documents.parquet").collect():
