@@ -2,8 +2,8 @@
 
 Every line of every text, and every run of as many words as a template has, is a candidate header. It is compared with
 templates as a vector of words, weighted by inverse document frequency over all texts. A text takes part if it has a telling
-word: without one of these, the cosine cannot reach the limit (`needed`), so nothing is lost. A text that is little else than licence is a licence file and
-licenses its directory. A text without a header of its own takes the licence of the nearest directory above it that has
+word: without one of these, the cosine cannot reach the limit (`needed`), so nothing is lost. A text that is a whole licence, by the cosine of all its words, or
+little else than headers is a licence file and licenses its directory. A text without a header of its own takes the licence of the nearest directory above it that has
 one, found by joining the directories on its path with the licensed ones.
 
 Everything is built-in functions. Only words of the templates are counted and joined, so what shuffles is narrow; the
@@ -18,6 +18,7 @@ like an added one are replaced.
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Mapping
@@ -54,6 +55,11 @@ TEMPLATES = {
     "CC-BY-SA-3.0": ("Licensed under CC BY-SA 3.0.",),
     "proprietary": ("All rights reserved.",),
 }
+#: Whole licences, by SPDX identifier. Other licences (CC-BY, AGPL) are known by their headers only.
+WHOLE = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0",
+         "CC0-1.0", "Artistic-1.0-Perl")
+#: Cosine from which a whole text is a whole licence.
+SAME = 0.8
 #: Cosine from which a line is a header, and share of a text's words from which it is a licence file.
 SIMILAR, MOSTLY = 0.7, 0.5
 #: Words of a template that may be telling: no fixed number, the bound of the cosine decides (`needed`).
@@ -76,6 +82,11 @@ def template_words(spark: SparkSession, templates: Mapping[str, tuple[str, ...]]
         .agg(F.count("*").alias("tf"))
 
 
+def whole_licenses() -> dict[str, Counter]:
+    """Words of the whole licences, counted."""
+    return {name: Counter(re.findall(TOKEN, pkgutil.get_data("capsule.llm", f"license_texts/{name}.txt").decode().lower())) for name in WHOLE}
+
+
 def word_weights(docs: DataFrame, words: list[str]) -> DataFrame:
     """Rows (word, idf) for some words: log((1 + documents) / (1 + documents that have it)) + 1, over all texts."""
     vocabulary = F.array(*[F.lit(w) for w in words])
@@ -139,14 +150,27 @@ def spans(placed: DataFrame, lengths: list[int], licenses: list[str], similar: f
             .where(F.col("cosine") >= similar).select("_key", "line", "pos", "n", "cosine", "license"))
 
 
+def wholes(counts: DataFrame, names: list[str], same: float) -> DataFrame:
+    """Rows (_key, cosine, license) of texts that are a whole licence. `counts` has the words of texts (_key, word, tf,
+    weight, y), y the parts of the licences' cosines."""
+    sums = counts.groupBy("_key").agg(F.sum(F.pow(F.col("tf") * F.col("weight"), F.lit(2))).alias("q"), F.array(*[F.struct(
+        F.coalesce(F.sum(F.col("tf") * F.get("y", F.lit(i))), F.lit(0.0)).alias("dot"), F.lit(name).alias("license"))
+        for i, name in enumerate(names)]).alias("f")).withColumn("f", F.array_max("f"))
+    cosine = F.round(F.least(F.lit(1.0), F.col("f.dot") / F.sqrt("q")), 9)
+    return sums.select("_key", cosine.alias("cosine"), "f.license").where(F.col("cosine") >= same)
+
+
 def headers(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, similar: float = SIMILAR) -> DataFrame:
-    """`docs` (text and any others, text left out) with `header`: (cosine, line, license, share) of its best header, or
-    null; `share` is the part of the text's words that stand in headers."""
+    """`docs` (text and any others, text left out) with `header`: (cosine, line, license, share) of the whole licence that the
+    text is, or else of its best header, or null; `share` is the part of the text's words that stand in headers, 1 for a
+    whole licence."""
     spark = docs.sparkSession
     bag = template_words(spark, templates).collect()  # fixed size: the templates' words
-    weights = stage(word_weights(docs, sorted({r.word for r in bag})), "idf").collect()
-    idf = {r.word: r.idf for r in weights}
-    unseen = float(max(idf.values(), default=1.0))  # words of no template weigh as the rarest
+    bodies = whole_licenses()
+    weights = stage(word_weights(docs, sorted({r.word for r in bag}.union(*bodies.values()))), "idf").collect()
+    every = {r.word: r.idf for r in weights}
+    idf = {r.word: every[r.word] for r in bag}
+    unseen = float(max(every.values(), default=1.0))  # words of no template weigh as the rarest
     by_template: dict[tuple[str, str], dict[str, float]] = {}
     sizes: Counter = Counter()
     for r in bag:
@@ -155,23 +179,30 @@ def headers(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
     order = sorted(by_template)
     telling = set().union(*[needed(v, idf, similar) for v in by_template.values()])
     length = {k: sum(x * x for x in v.values()) ** 0.5 for k, v in by_template.items()}
-    parts = [(w, idf[w], w in telling, [by_template[k].get(w, 0.0) * idf[w] / length[k] for k in order]) for w in sorted(idf)]
-    known = F.broadcast(spark.createDataFrame(parts, "word string, idf double, telling boolean, x array<double>"))
+    body = {name: {w: n * every[w] for w, n in words.items()} for name, words in bodies.items()}
+    body_length = {name: sum(x * x for x in v.values()) ** 0.5 for name, v in body.items()}
+    parts = [(w, idf.get(w), every[w], w in telling, [by_template[k].get(w, 0.0) * every[w] / length[k] for k in order] if w in idf else None,
+              [body[name].get(w, 0.0) * every[w] / body_length[name] for name in WHOLE]) for w in sorted(every)]
+    known = spark.createDataFrame(parts, "word string, idf double, weight double, telling boolean, x array<double>, y array<double>")
 
-    asked = holds(F.col("text"), telling)
+    asked = holds(F.col("text"), telling.union(*[needed(v, every, SAME) for v in body.values()]))
     read = stage(docs.drop("header").withColumns({"_key": F.when(asked, F.md5("text")), "text": F.when(asked, F.col("text"))}), "asked")
     texts = read.where("_key is not null").groupBy("_key").agg(F.first("text").alias("text"))
     placed = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, i: F.transform(
         tokens(x), lambda w: F.struct(i.alias("line"), w.alias("word")))))
     placed = stage(texts.select("_key", F.posexplode(placed).alias("pos", "w")).select("_key", "pos", "w.line", "w.word"), "words")
-    weighed = placed.join(known, "word", "left").withColumns({
+    counts = placed.groupBy("_key", "word").agg(F.count("*").alias("tf")).join(F.broadcast(known.select("word", "weight", "y")), "word", "left")
+    whole = wholes(counts.withColumn("weight", F.coalesce("weight", F.lit(unseen))), list(WHOLE), SAME)
+    weighed = placed.join(F.broadcast(known.select("word", "idf", "telling", "x")), "word", "left").withColumns({
         "idf": F.coalesce("idf", F.lit(unseen)), "telling": F.coalesce("telling", F.lit(False))})
     hits = stage(spans(weighed, [sizes[k] for k in order], [name for _, name in order], similar), "hits")
     spent = hits.select("_key", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos")).distinct().groupBy("_key").agg(F.count("*").alias("spent"))
     best = hits.groupBy("_key").agg(F.max(F.struct("cosine", (-F.col("line")).alias("line"), "license")).alias("top"))
     found = (best.join(spent, "_key").join(placed.groupBy("_key").agg(F.count("*").alias("words")), "_key")
              .select("_key", F.struct("top.cosine", (-F.col("top.line")).alias("line"), "top.license",
-                                      (F.col("spent") / F.col("words")).alias("share")).alias("header")))
+                                      (F.col("spent") / F.col("words")).alias("share")).alias("part")))
+    whole = whole.select("_key", F.struct("cosine", F.lit(0).alias("line"), "license", F.lit(1.0).alias("share")).alias("all"))
+    found = found.join(whole, "_key", "full").select("_key", F.coalesce("all", "part").alias("header"))
     found = small(stage(found, "found"))
     read = read.drop("text")
     none = read.where("_key is null").withColumn("header", F.lit(None).cast(found.schema["header"].dataType))

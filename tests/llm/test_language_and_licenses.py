@@ -139,6 +139,18 @@ def test_headers_inside_and_across_lines(spark):
     assert got["d0/x"].cosine == 1
 
 
+def test_whole_licence_files_license_their_directory(spark):
+    prose, rows = "words that say nothing about it " * 30, []
+    for name in licenses.WHOLE:
+        text = licenses.pkgutil.get_data("capsule.llm", f"license_texts/{name}.txt").decode()
+        rows += [(f"{name}/LICENSE", "Copyright 2020 Some Company and its authors\n\n" + text.replace("\n", " \r\n")), (f"{name}/a/x.txt", prose)]
+    rows += [("code/a.py", text + prose * 200), ("code/b.py", prose)]
+    got = {r.path: r for r in licenses.licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in licenses.WHOLE:
+        assert (got[f"{name}/a/x.txt"].license, got[f"{name}/a/x.txt"].origin, got[f"{name}/LICENSE"].license) == (name, "inherited", name)
+    assert got["code/b.py"].license is None
+
+
 def test_licenses_of_the_documents(spark, root):
     got = {r.doc_id: r for r in queries.QUERIES["op6_license_scan"](spark, root).collect()}
     for r in spark.read.parquet(f"{root}/documents.parquet").collect():
