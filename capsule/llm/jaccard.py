@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from capsule.llm.common import small, table
 from capsule.llm.components import components
@@ -241,6 +242,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     Sets of word n-grams whose similarity is num / den at least are linked. component_id is the smallest doc_id that
     links reach; n_links counts the other documents linked directly.
     """
+    return classified(docs, n, num, den).drop("node", "root")
+
+
+def classified(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The rows of `jaccard_classes` with node and root, the class among nodes (null without shingles)."""
     members = stage(nodes(docs, n), "nodes")
     longest = members.agg(F.max("n_shingles")).first()[0] or 0
     index = indexed(docs, n, num, den, longest)
@@ -258,27 +264,42 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
            .join(linked.groupBy("node").agg(F.sum("links").alias("links")), "node", "left"))
     one = stage(one, "one")
     least = one.groupBy("root").agg(F.min("first").alias("component_id"))
-    one = one.join(least, "root").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    one = one.join(least, "root").select("node", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return (members.join(small(stage(one, "classes")), "node", "left")
-            .select("doc_id", "n_shingles",
+            .select("doc_id", "n_shingles", "node", "root",
                     F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                     F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links")))
 
 
+def with_nodes(docs: DataFrame, n: int) -> DataFrame:
+    """`docs` with `_node`."""
+    def run(batches):
+        for part, sets in _sets(batches, n):
+            yield part.append_column("_node", pa.array([node(s) for s in sets], pa.int64()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+
+
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of `docs` (doc_id, text and any others) without those that have a document of smaller doc_id in their
-    class. Rows that repeat a doc_id in a class stay once; a class without any doc_id stays whole."""
-    classes = stage(jaccard_classes(docs, n, num, den).select("doc_id", "n_shingles", "component_id"), "classes-of-documents")
+    class. Rows that repeat a doc_id in a class stay once, that of the smallest text; a class without any doc_id stays
+    whole. A doc_id that is null or repeated may stand in several classes: there, rows are told apart by their sets."""
+    classes = stage(classified(docs, n, num, den).select("doc_id", "n_shingles", "component_id", "node", "root"), "classes-of-documents")
     gone = classes.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = stage(gone.select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    kept = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = stage(classes.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-                  .where("_n > 1").select("_id"), "repeated")
+    gone = stage(gone.select(F.col("doc_id").alias("_id"), F.col("node").alias("_gone")).distinct(), "gone")
+    again = stage(classes.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1 or _id is null").select("_id"), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    plain = docs.join(small(gone.select("_id").distinct()), same, "left_anti")
     if not again.limit(1).count():
-        return kept
-    same = F.col("doc_id") == F.col("_id")
-    return kept.join(small(again), same, "left_anti").unionByName(
-        kept.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return plain
+    odd = with_nodes(docs.join(small(again), same, "left_semi"), n)
+    odd = odd.join(small(gone), same & (F.col("_node") == F.col("_gone")), "left_anti")
+    roots = classes.where("n_shingles > 0 and doc_id is not null").join(small(again), F.col("doc_id") == F.col("_id"), "left_semi")
+    roots = stage(roots.select(F.col("doc_id").alias("_id"), F.col("node").alias("_of"), F.col("root").alias("_root")).distinct(), "roots")
+    odd = stage(odd.join(small(roots), (F.col("doc_id") == F.col("_id")) & (F.col("_node") == F.col("_of")), "left"), "odd")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_root").orderBy("text"))
+    once = odd.where("_root is not null").withColumn("_place", first).where("_place = 1")
+    return (plain.join(small(again), same, "left_anti").unionByName(odd.where("_root is null").select(docs.columns))
+            .unionByName(once.select(docs.columns)))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,6 +323,14 @@ def test_one_of_each_keeps_a_repeated_row_once(spark):
     assert rows(jaccard.one_of_each(df)) == [(1, "a b c d e f")]
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    near, other, third = "a b c d e f g h i j k l m n o", "p q r s t u", "one two three four five six"
+    docs = [(3, near), (7, near), (7, other), (None, near), (None, third), (None, "v w x y z v w"), (None, ""), (None, None), (8, ""), (8, ""), (9, None), (9, near)]
+    got = jaccard.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = [(3, near), (7, other), (None, third), (None, "v w x y z v w"), (None, ""), (None, None), (8, ""), (8, ""), (9, None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_components(spark):
     rng = random.Random(7)
     for edges in ([(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 40)], [(rng.randrange(60), rng.randrange(60)) for _ in range(45)], [(1, 1)], []):
