@@ -51,7 +51,9 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # to its end line, or else over the base64 lines that follow
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,16}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+         r"|(?:[\x20\t\r\n]*[A-Za-z0-9+/=]{20,})*(?:[\r\n]+[A-Za-z0-9+/]{1,19}={1,2})?)"),
     Rule("url_password", r"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9_.-]+:[^\x20\x09-\x0D/:@]+@"),
 )
 RULES = BASE + MORE
