@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capsule.llm import bpe, classifier, fingerprints, jaccard, language, licenses, mixing, rules, secrets, sql, warc
+from capsule.llm import bpe, classifier, fingerprints, jaccard, language, lexical, licenses, mixing, rules, secrets, sql, warc
 
 QUERIES = {
     "op1_warc_segments": warc.op1_warc_segments,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_quality_classifier": classifier.op10_quality_classifier,
+    "op12_lexical_search": lexical.op12_lexical_search,
 }
 
 #: The others hash words or keys, learn weights or merge tokens; tests compare them with plain versions.
@@ -22,4 +23,5 @@ SQL = {
     "op1_warc_segments": sql.ARCHIVES,
     "op4_secret_scan": sql.SECRETS,
     "op8_ngram_jaccard": sql.CLASSES,
+    "op12_lexical_search": sql.RANKED,
 }

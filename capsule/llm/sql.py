@@ -54,3 +54,21 @@ reached AS (SELECT DISTINCT a AS id, a AS other FROM links UNION SELECT r.id, l.
 first_of AS (SELECT id, min(other) AS lowest FROM reached GROUP BY id), many AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(lowest, d.doc_id) AS component_id, coalesce(n_links, 0) AS n_links
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN first_of ON id = d.doc_id LEFT JOIN many ON a = d.doc_id"""
+
+
+def _terms(name: str, key: str) -> str:
+    return f"""SELECT {key}, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {name}"""
+
+
+RANKED = f"""
+WITH wanted AS (SELECT item_id, term, count(*) AS q FROM ({_terms("benchmark", "item_id")}) GROUP BY ALL),
+t AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM ({_terms("documents", "doc_id")}) GROUP BY ALL),
+long AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM long),
+m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM long, total),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, total GROUP BY term, docs),
+scored AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM wanted JOIN w USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""
