@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capsule.llm import bpe, classifier, fingerprints, jaccard, language, lexical, licenses, mixing, rules, secrets, sql, warc
+from capsule.llm import alignment, bpe, classifier, fingerprints, jaccard, language, lexical, licenses, mixing, rules, secrets, sql, warc
 
 QUERIES = {
     "op1_warc_segments": warc.op1_warc_segments,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_quality_classifier": classifier.op10_quality_classifier,
     "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 #: The others hash words or keys, learn weights or merge tokens; tests compare them with plain versions.

@@ -103,3 +103,35 @@ def base_rules(text):
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered),
             len(w) < 10 or 100 * len(covered) > 20 * len(w))
+
+
+def aligned(texts, a_encode, b_encode, a_bytes, b_bytes):
+    """(doc_id, text) -> doc_id: (n_a, n_b, n_groups, n_links, n_best, count_sum, groups), whole texts encoded at once."""
+    found, counts = {}, Counter()
+    for k, (_, text) in enumerate(texts):
+        raw = (" " + (text or "")).encode()
+        a, b = (a_encode(" " + text), b_encode(text)) if text else ([], [])
+        if not text or b"".join(a_bytes[i] for i in a) != raw or b"".join(b_bytes[i] for i in b) != raw:
+            found[k] = None
+            continue
+        at_a, at_b = [i for i, t in enumerate(a) for _ in a_bytes[t]], [i for i, t in enumerate(b) for _ in b_bytes[t]]
+        links = sorted(set(zip(at_a, at_b)))
+        cuts = [i for i in range(1, len(raw) + 1) if i == len(raw) or (at_a[i] != at_a[i - 1] and at_b[i] != at_b[i - 1])]
+        groups, start = [], 0
+        for c in cuts:
+            groups.append("|".join(",".join(str(ids[i]) for i in sorted(set(at[start:c]))) for ids, at in ((a, at_a), (b, at_b))))
+            start = c
+        links = [(a[i], b[j]) for i, j in links]
+        counts.update(links)
+        found[k] = (len(a), len(b), links, groups)
+    top = Counter()
+    for (_, b), n in counts.items():
+        top[b] = max(top[b], n)
+    out = []
+    for k, (i, _) in enumerate(texts):
+        if found[k] is None:
+            out.append((i, 0, 0, 0, 0, 0, 0, ""))
+        else:
+            n_a, n_b, links, groups = found[k]
+            out.append((i, n_a, n_b, len(groups), len(links), sum(counts[x] == top[x[1]] for x in links), sum(counts[x] for x in links), ";".join(groups)))
+    return out
