@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from capsule.llm import alignment, bpe, classifier, fingerprints, jaccard, language, lexical, licenses, mixing, rules, secrets, sql, warc
+from capsule.llm import alignment, bpe, classifier, fingerprints, jaccard, language, lexical, licenses, mixing, rules, secrets, sql, superminhash, warc
 
 QUERIES = {
     "op1_warc_segments": warc.op1_warc_segments,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_quality_classifier": classifier.op10_quality_classifier,
+    "op11_superminhash": superminhash.op11_superminhash,
     "op12_lexical_search": lexical.op12_lexical_search,
     "op13_token_alignment": alignment.op13_token_alignment,
 }
@@ -24,5 +25,6 @@ SQL = {
     "op1_warc_segments": sql.ARCHIVES,
     "op4_secret_scan": sql.SECRETS,
     "op8_ngram_jaccard": sql.CLASSES,
+    "op11_superminhash": sql.NEAR,
     "op12_lexical_search": sql.RANKED,
 }

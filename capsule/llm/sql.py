@@ -42,20 +42,27 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN summed USING (doc_id)"""
 
-CLASSES = f"""
+
+
+def _classes(n: int, percent: int, out: str) -> str:
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORDS}), lambda x: x <> '') AS w
   FROM documents),
-s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
-  FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + {n - 1}], ' ') AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
 reached AS (SELECT DISTINCT a AS id, a AS other FROM links UNION SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.other),
 first_of AS (SELECT id, min(other) AS lowest FROM reached GROUP BY id), many AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(lowest, d.doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(lowest, d.doc_id) AS component_id, {out}
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN first_of ON id = d.doc_id LEFT JOIN many ON a = d.doc_id"""
 
 
+CLASSES = _classes(3, 90, "coalesce(n_links, 0) AS n_links")
+NEAR = _classes(2, 80, "coalesce(lowest, d.doc_id) = d.doc_id AS kept")
+
+
 def _terms(name: str, key: str) -> str:
     return f"""SELECT {key}, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
     '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {name}"""

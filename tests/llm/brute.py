@@ -135,3 +135,39 @@ def aligned(texts, a_encode, b_encode, a_bytes, b_bytes):
             n_a, n_b, links, groups = found[k]
             out.append((i, n_a, n_b, len(groups), len(links), sum(counts[x] == top[x[1]] for x in links), sum(counts[x] for x in links), ";".join(groups)))
     return out
+
+
+def super_min_hash(keys, places, mixed):
+    """Signature of a set by the shuffles themselves, one element at a time."""
+    least = [(1 << 64) - 1] * places
+    for x in keys:
+        order = list(range(places))
+        for j in range(places):
+            drawn = mixed((x + (j + 1) * 0x9E3779B97F4A7C15) % (1 << 64))
+            k = j + ((drawn >> 32) * (places - j) >> 32)
+            order[j], order[k] = order[k], order[j]
+            least[order[j]] = min(least[order[j]], (mixed(drawn) >> 16) | (j << 48))
+    return least
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=20):
+    """(doc_id, text), (item_id, text) -> rows (item_id, rank, doc_id, score)."""
+    import math
+    bags = [(i, Counter(TERM.findall((t or "").translate(LOWER)))) for i, t in docs]
+    bags = [(i, b, sum(b.values())) for i, b in bags if b]
+    n, total, df = len(bags), sum(x for _, _, x in bags), Counter(t for _, b, _ in bags for t in b)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, bag, size in bags:
+            m, score = 75 + 25 * size * n // total, 0
+            for t in TERM.findall((text or "").translate(LOWER)):
+                if bag[t]:
+                    score += math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1_000_000_000 * bag[t] // (1000 * bag[t] + 12 * m))
+            if score > 0:
+                scored.append((-score, i is None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return out
