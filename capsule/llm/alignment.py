@@ -1,23 +1,25 @@
 """Tokens of two tokenizers aligned by their bytes, with counts of linked pairs over the whole corpus.
 
 Both encodings cut the same bytes. Where both end is the end of a group; an A token and a B token are linked if they
-share bytes. A text is taken in segments: neither tokenizer joins a character that is no white space with a following
-space, tab or line end (the byte-level pattern splits there, and no piece of the other vocabulary spans it), so segments
-are encoded and aligned alone, and a worker keeps what it has aligned.
-
-1. The first pass finds the distinct linked pairs. They are dealt by hash to parts of about PART_PAIRS, and each part gets
-   a minimal perfect hash, built in a group of its own, with its keys in the order of their slots.
-2. The second pass counts into dense vectors indexed by the hash, one vector a part and task. Vectors are summed in a
+share bytes. Texts are encoded once: neither tokenizer joins a single space before a sign with what stands before it (the
+byte-level pattern splits there, and no piece of the other vocabulary spans it), so the words of a text are encoded alone and
+a worker keeps those it has met; a text with other white space around its spaces is encoded whole. Ids are written, two
+bytes each, and everything after that is array arithmetic on blocks of documents.
+
+1. The first pass aligns the documents and counts linked pairs for each task. The distinct pairs are dealt by hash to parts
+   of about PART_PAIRS, and each part gets a minimal perfect hash, built in a group of its own, with its keys in the order
+   of their slots.
+2. The counts of the tasks become dense vectors indexed by the hash, one vector a part and task. Vectors are summed in a
    tree, FAN at a time, so that no task ever holds more than FAN of them.
-3. The third pass aligns the documents again and looks the counts up; a pair's key is verified at its slot.
+3. The second pass aligns the documents again and looks the counts up; a pair's key is verified at its slot.
 
 The distinct pairs are fewer than the product of the vocabularies, but that may be too many for every worker. Parts are
-therefore broadcast in slices of SLICE_PARTS parts (4 million pairs, about 50 MB); more pairs cost more passes, whose sums
-are added by row.
+therefore broadcast in slices of SLICE_PARTS parts (4 million pairs, about 50 MB); more pairs cost more second passes, whose
+sums are added by row.
 
 Defined cases. Null or empty text, or one whose joined token bytes differ from space + text: no tokens, zeros, groups '', and
-nothing counted. Very long texts: taken in runs of RUN segments; a segment without white space is encoded whole. Repeated
-rows: each gives a row and counts. Null doc_id: kept. Empty table: empty result. Other columns are not used.
+nothing counted. Very long texts: encoded SPAN characters at a time, aligned in windows of WINDOW tokens. Repeated rows: each
+gives a row and counts. Null doc_id: kept. Empty table: empty result. Other columns are not used.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -41,15 +43,11 @@ from capsule.llm.perfect import PerfectHash, build
 from capsule.sources.staging import stage
 
 PART_PAIRS, SLICE_PARTS, FAN = 1 << 16, 64, 16
-#: Segments of a text taken at a time, and limits of what a worker keeps (segments, and bytes of them).
-RUN, KEPT, KEPT_BYTES = 1 << 16, 500_000, 1 << 26
+#: Words that a worker keeps, characters of a text that are encoded at a time, tokens that are aligned at a time.
+KEPT, SPAN, WINDOW = 500_000, 1 << 22, 1 << 20
 UNSEEN = -2
-
-# white space in the widest sense, and that of it after which a segment does not end
-_WIDE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_ODD = r"\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SEGMENT = re.compile(f"[{_WIDE}]*[^{_WIDE}]+(?:[{_ODD}][{_WIDE}]*[^{_WIDE}]*)*|[{_WIDE}]+")
-WHOLE = re.compile(r"(?s).+")
+#: A space that does not stand alone before a sign: white space in the widest sense, or the end, follows it.
+LOOSE = re.compile(r" (?:[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|\Z)")
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -69,174 +67,269 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         sign = byte_of_sign()
-        size = self.a.get_vocab_size(with_added_tokens=True)
-        names = [self.a.id_to_token(i) or "" for i in range(size)]
+        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
         self.a_bytes = [bytes(sign[c] for c in t) if all(c in sign for c in t) else t.encode() for t in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.space = self.b.piece_to_id("▁")
-        split = json.loads(a).get("pre_tokenizer") or {}
-        apart = not any(re.search("[^▁]▁|[ \t\n]", p) for p in pieces) and pieces[self.space] == "▁"
-        self.segment = SEGMENT if apart and split.get("type") == "ByteLevel" and split.get("use_regex", True) else WHOLE
-
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of segments, each of which follows on others. B puts a space before what it encodes: that is the first
-        character if it is a space, else the token of that space is taken off again."""
-        a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        for i, s in enumerate(segments):
-            if s == " ":
-                b[i] = [self.space]
-            elif s[0] != " ":
-                b[i] = b[i][1:] if b[i][:1] == [self.space] else []
-        return a, b
-
-
-def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], width: int) -> tuple[list[int], bytes, int]:
-    """Keys of linked pairs, text of the groups, number of groups; both encodings have the same bytes."""
-    pairs, groups, i, j, i0, j0 = [], [], 0, 0, 0, 0
-    end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-    while True:
-        pairs.append(a[i] * width + b[j])
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a and step_b:
-            groups.append(",".join(map(str, a[i0:i + 1])) + "|" + ",".join(map(str, b[j0:j + 1])))
-            i0, j0 = i + 1, j + 1
-            if i0 == len(a):
-                return pairs, ";".join(groups).encode(), len(groups)
-        if step_a:
-            i += 1
-            end_a += len(a_bytes[a[i]])
-        if step_b:
-            j += 1
-            end_b += len(b_bytes[b[j]])
+        spec = json.loads(a)
+        split = spec.get("pre_tokenizer") or {}
+        regular = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not spec.get("normalizer")
+        self.by_words = regular and not any(re.search("[^▁]▁| ", p) for p in pieces)
+        self.quick = self._ranked(spec["model"], sign) if regular else None
+
+    def _ranked(self, model: dict, sign: dict[str, int]):
+        """The same encoding by ranks, where every merge makes the token of the next id."""
+        import public_tokenizers
+        import tiktoken
+        parts = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if model["type"] != "BPE" or any(model["vocab"].get("".join(m)) != len(sign) + i for i, m in enumerate(parts)):
+            return None
+        ranks = {self.a_bytes[i]: i for t, i in model["vocab"].items() if i < len(sign) + len(parts)}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        if self.quick:
+            return [self.quick.encode_ordinary(t) for t in texts]
+        return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+
+    def has_bytes(self, a: list[int], b: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
 
 
 class _Places(dict):
-    """Places of segments; unknown ones are given the next place and kept for encoding."""
+    """Places of words; unknown ones are given the next place and wait to be encoded."""
+
+    def __init__(self):
+        self.new: list[str] = []
 
-    def __missing__(self, segment):
-        self[segment] = at = len(self)
-        self.new.append(segment)
+    def __missing__(self, word):
+        self[word] = at = len(self)
+        self.new.append(word)
         return at
 
 
-class Aligner:
-    """What a worker has aligned: by place of a segment its numbers, pairs and groups."""
+class Encoder:
+    """Ids of texts, from the ids of words met before."""
 
     def __init__(self, a: bytes, b: bytes):
         self.tokenizers = Tokenizers(a, b)
-        self.width = len(self.tokenizers.b_bytes)
-        self.generation = 0
         self.clear()
 
     def clear(self):
-        self.places, self.places_new, self.bytes = _Places(), [], 0
-        self.places.new = self.places_new
-        self.numbers = np.zeros((1024, 4), np.int64)  # n_a, n_b, n_groups, usable
-        self.pairs: list[np.ndarray] = []
-        self.groups: list[bytes] = []
-        self.generation += 1
-
-    def runs(self, text: str) -> Iterator[np.ndarray]:
-        """Places of the segments of space + text, RUN at a time. What is kept may be emptied before each run."""
-        found = self.tokenizers.segment.finditer(" " + text) if len(text) > 8 * RUN else None
-        some = [m.group() for m in islice(found, RUN)] if found else self.tokenizers.segment.findall(" " + text)
-        while some:
-            if len(self.places) > KEPT or self.bytes > KEPT_BYTES:
-                self.clear()
-            at = np.fromiter(map(self.places.__getitem__, some), np.int64, len(some))
-            if self.places_new:
-                self._encode()
-            yield at
-            some = [m.group() for m in islice(found, RUN)] if found else None
-
-    def _encode(self):
-        t, first = self.tokenizers, len(self.pairs)
-        if len(self.places) > len(self.numbers):
-            self.numbers = np.concatenate((self.numbers, np.zeros((len(self.places), 4), np.int64)))
-        for k, (segment, a, b) in enumerate(zip(self.places_new, *t.encode(self.places_new))):
-            raw = segment.encode()
-            if a and b and b"".join(map(t.a_bytes.__getitem__, a)) == raw == b"".join(map(t.b_bytes.__getitem__, b)):
-                pairs, groups, n = aligned(a, b, t.a_bytes, t.b_bytes, self.width)
-                self.numbers[first + k] = len(a), len(b), n, 1
-            else:
-                pairs, groups = [], b""
-            self.pairs.append(np.array(pairs, np.uint64))
-            self.groups.append(groups)
-            self.bytes += len(raw) + 8 * len(pairs) + len(groups)
-        self.places_new.clear()
-
-    def usable(self, text: str | None) -> Iterator[np.ndarray]:
-        """The runs of a text whose tokens have its bytes; none of another text."""
+        self.places, self.usable = _Places(), np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.uint16), np.zeros(0, np.uint16)]  # of all words, A and B
+        self.first = [np.zeros(1, np.int64), np.zeros(1, np.int64)]  # where each word's begin
+
+    def _encode_new(self):
+        t, words = self.tokenizers, self.places.new
+        found = t.encode_a([" " + w for w in words]), t.b.encode(words, num_threads=1)
+        good = [t.has_bytes(a, b, b" " + w.encode()) for w, a, b in zip(words, *found)]
+        self.usable = np.concatenate((self.usable, np.array(good, bool)))
+        for i, ids in enumerate(found):
+            sizes = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            self.first[i] = np.concatenate((self.first[i], self.first[i][-1] + sizes))
+            self.ids[i] = np.concatenate((self.ids[i], np.fromiter(chain.from_iterable(ids), np.uint16, int(sizes[-1]))))
+        words.clear()
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes] | None]:
+        """For each text its A and B ids as 16-bit numbers, or None."""
+        t, short = self.tokenizers, []
+        for text in texts:
+            # runs of short texts by words share the encoding of new words
+            if text and t.by_words and len(text) <= SPAN and not LOOSE.search(" " + text):
+                short.append(text)
+                if len(short) < 64:
+                    continue
+            yield from self._by_words(short, len(short))
+            if not short or short[-1] is not text:
+                yield self._one(text)
+            short = []
+        yield from self._by_words(short, len(short))
+
+    def _one(self, text: str | None) -> tuple[bytes, bytes] | None:
+        t = self.tokenizers
         if not text:
+            return None
+        if t.by_words and not LOOSE.search(" " + text):
+            parts, at = [], 0
+            while at <= len(text):
+                stop = text.find(" ", at + SPAN)
+                parts.append(text[at:stop if stop >= 0 else len(text)])
+                at = stop + 1 if stop >= 0 else len(text) + 1
+            found = [next(self._by_words([p], 1)) for p in parts]
+            return None if None in found else tuple(b"".join(x) for x in zip(*found))
+        a, b = t.encode_a([" " + text])[0], t.b.encode(text)
+        return (np.array(a, np.uint16).tobytes(), np.array(b, np.uint16).tobytes()) if t.has_bytes(a, b, b" " + text.encode()) else None
+
+    def _by_words(self, texts: list[str], n: int) -> Iterator[tuple[bytes, bytes] | None]:
+        if not n:
             return
-        if len(text) <= 8 * RUN:
-            at = next(self.runs(text))
-            if self.numbers[at, 3].all():
-                yield at
-        elif all(self.numbers[at, 3].all() for at in self.runs(text)):
-            yield from self.runs(text)
-
-
-_kept: dict[str, Aligner] = {}
-
-
-def aligner(files: tuple[bytes, bytes]) -> Aligner:
-    """One for each Python worker and pair of files: tasks after the first find what it has aligned."""
+        if len(self.places) > KEPT:
+            self.clear()
+        words = [x.split(" ") for x in texts]
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        if self.places.new:
+            self._encode_new()
+        stops = np.cumsum([len(w) for w in words])
+        good = np.logical_and.reduceat(self.usable[at], np.concatenate(([0], stops[:-1])))
+        out = []
+        for ids, first in zip(self.ids, self.first):
+            size = first[at + 1] - first[at]
+            ends = np.cumsum(size)
+            taken = ids[np.repeat(first[at] - (ends - size), size) + np.arange(ends[-1])]
+            cut = [0, *ends[stops - 1].tolist()]
+            out.append([taken[i:j].tobytes() for i, j in zip(cut, cut[1:])])
+        for ok, a, b in zip(good, *out):
+            yield (a, b) if ok else None
+
+
+_kept: dict[str, Encoder] = {}
+
+
+def encoder(files: tuple[bytes, bytes]) -> Encoder:
+    """One for each Python worker and pair of files: later tasks find the words of earlier ones."""
     name = hashlib.sha256(files[0] + files[1]).hexdigest()
     if name not in _kept:
         _kept.clear()
-        _kept[name] = Aligner(*files)
+        _kept[name] = Encoder(*files)
     return _kept[name]
 
 
-def _counted(own: Aligner, batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(pairs, times) of the links of all usable texts; a pair may come again."""
-    times, generation = np.zeros(0, np.int64), own.generation
-
-    def flush():
-        used = np.flatnonzero(times)
-        if len(used):
-            pairs = [own.pairs[i] for i in used]
-            return np.concatenate(pairs), np.repeat(times[used], [len(p) for p in pairs])
-        return None
-    for b in batches:
-        for text in b["text"]:
-            text = text.as_py() or ""
-            if len(own.places) > KEPT or own.bytes > KEPT_BYTES:
-                if out := flush():
-                    yield out
-                own.clear()
-            if len(text) > 8 * RUN:
-                # what is kept may be emptied on the way: first see whether the text counts, then count run by run
-                if out := flush():
-                    yield out
-                times = np.zeros(0, np.int64)
-                for at in own.usable(text):
-                    place, n = np.unique(at, return_counts=True)
-                    pairs = [own.pairs[i] for i in place]
-                    yield np.concatenate(pairs), np.repeat(n, [len(p) for p in pairs])
-                generation = own.generation
-                continue
-            if own.generation != generation:
-                times, generation = np.zeros(0, np.int64), own.generation
-            for at in own.usable(text):
-                if len(times) < len(own.places):
-                    times = np.concatenate((times, np.zeros(len(own.places) + 1024, np.int64)))
-                np.add.at(times, at, 1)
-    if out := flush():
-        yield out
-
-
-def distinct_pairs(docs: DataFrame, files) -> DataFrame:
-    """Distinct rows (pair, mix): keys of the pairs that some text links, and their hashes."""
+def encoded(docs: DataFrame, files) -> DataFrame:
+    """`key` of `docs` (key, text) with the ids `a` and `b`, null where the text has no tokens."""
+    kind = docs.schema["key"].dataType.simpleString()
+
     def run(batches):
-        seen = np.zeros(0, np.uint64)
-        for pairs, _ in _counted(aligner(files.value), batches):
-            seen = np.union1d(seen, pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array((mixed(seen) >> np.uint64(1)).astype(np.int64))], ["pair", "mix"])
-    return docs.select("text").mapInArrow(run, "pair long, mix long").distinct()
+        own = encoder(files.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = list(own.encode(part["text"].to_pylist()))
+                yield pa.RecordBatch.from_arrays([part["key"], *[pa.array([x and x[i] for x in ids], pa.binary()) for i in (0, 1)]], ["key", "a", "b"])
+    return docs.select("key", "text").mapInArrow(run, f"key {kind}, a binary, b binary")
+
+
+class Lengths:
+    """Bytes of each token of A and B."""
+
+    def __init__(self, files: tuple[bytes, bytes]):
+        t = Tokenizers(*files)
+        self.a, self.b = (np.array([len(x) for x in side], np.int64) for side in (t.a_bytes, t.b_bytes))
+        self.width = len(self.b)
+
+
+class Window:
+    """Alignment of some texts side by side: `a`, `b` ids, `at_a`, `at_b` the text of each token; bytes agree text by text."""
+
+    def __init__(self, lengths: Lengths, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray):
+        self.a, self.b, self.at_a, self.at_b = a, b, at_a, at_b
+        self.end_a, self.end_b = np.cumsum(lengths.a[a]), np.cumsum(lengths.b[b])
+        ends = np.concatenate((self.end_a, self.end_b))
+        ends.sort(kind="stable")
+        new = np.ones(len(ends), bool)
+        new[1:] = ends[1:] != ends[:-1]
+        #: ends of links and of groups; places of a link's tokens
+        self.ends = ends[new]
+        self.cuts = ends[1:][~new[1:]]
+        self.i, self.j = np.searchsorted(self.end_a, self.ends), np.searchsorted(self.end_b, self.ends)
+        self.pairs = a[self.i].astype(np.uint64) * np.uint64(lengths.width) + b[self.j].astype(np.uint64)
+
+    def sums(self, n: int, *of_links: np.ndarray) -> np.ndarray:
+        """By text (0..n-1): A tokens, B tokens, groups, links, and the sums of values of the links."""
+        link = self.at_a[self.i]
+        group = self.at_a[np.searchsorted(self.end_a, self.cuts)]
+        first = np.searchsorted(link, np.arange(n + 1))
+        out = [np.bincount(x, minlength=n) for x in (self.at_a, self.at_b, group, link)]
+        for values in of_links:
+            total = np.concatenate((np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)))
+            out.append(total[first[1:]] - total[first[:-1]])
+        return np.stack(out, axis=1)
+
+    def groups(self, n: int) -> list[bytes]:
+        """By text the groups, written out."""
+        key = np.concatenate((2 * np.searchsorted(self.cuts, self.end_a), 2 * np.searchsorted(self.cuts, self.end_b) + 1))
+        order = np.argsort(key, kind="stable")
+        key, ids, text = key[order], np.concatenate((self.a, self.b))[order], np.concatenate((self.at_a, self.at_b))[order]
+        signs, kept = _SIGNS[ids], _KEPT[ids]
+        after = np.full(len(ids), ord(";"), np.uint8)
+        after[:-1][key[1:] == key[:-1]] = ord(",")
+        after[:-1][(key[1:] == key[:-1] + 1) & (key[1:] % 2 == 1)] = ord("|")
+        signs[:, 5] = after
+        last = np.searchsorted(text, np.arange(n), "right") - 1
+        some = np.bincount(text, minlength=n) > 0
+        kept[last[some], 5] = False
+        written = signs[kept].tobytes()
+        size = np.cumsum(kept.sum(axis=1))
+        first = np.searchsorted(text, np.arange(n))
+        start = np.where(first > 0, size[first - 1], 0)
+        return [written[start[k]:size[last[k]]] if some[k] else b"" for k in range(n)]
+
+
+# decimal digits of 0..65535 and which of them are written; the last place is for the sign that follows
+_NUMBERS = np.arange(1 << 16)
+_SIGNS = np.stack([*(_NUMBERS // 10 ** k % 10 + 48 for k in (4, 3, 2, 1, 0)), _NUMBERS * 0], axis=1).astype(np.uint8)
+_KEPT = np.stack([*((_NUMBERS >= 10 ** k) | (k == 0) for k in (4, 3, 2, 1, 0)), _NUMBERS >= 0], axis=1)
+
+
+def windows(lengths: Lengths, a: list[bytes], b: list[bytes], window: int | None = None) -> Iterator[tuple[int, int, Window, bool]]:
+    """(first text, number of texts, window, whether it goes on with the text before): all texts, as many at a time as have
+    about `window` tokens; a longer text is cut at ends of groups."""
+    window, at = window or WINDOW, 0
+    while at < len(a):
+        stop, size = at, 0
+        while stop < len(a) and (stop == at or size + len(a[stop]) + len(b[stop]) <= 2 * window):
+            size += len(a[stop]) + len(b[stop])
+            stop += 1
+        x, y = (np.frombuffer(b"".join(s[at:stop]), np.uint16).astype(np.int64) for s in (a, b))
+        n = stop - at
+        if n > 1 or size <= 2 * window:
+            if len(x):
+                yield at, n, Window(lengths, x, y, *(np.repeat(np.arange(n), [len(t) // 2 for t in s[at:stop]]) for s in (a, b))), False
+        else:
+            step, more = window, False
+            while len(x):
+                # the part of both that ends with the last common end of this step
+                end_x, end_y = np.cumsum(lengths.a[x[:step]]), np.cumsum(lengths.b[y[:step]])
+                common = np.intersect1d(end_x, end_y, assume_unique=True)
+                if not len(common):
+                    step *= 2
+                    continue
+                i, j = np.searchsorted(end_x, common[-1]) + 1, np.searchsorted(end_y, common[-1]) + 1
+                yield at, 1, Window(lengths, x[:i], y[:j], np.zeros(i, np.int64), np.zeros(j, np.int64)), more
+                x, y, step, more = x[i:], y[j:], window, True
+        at = stop
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
+    return [x or b"" for x in batch["a"].to_pylist()], [x or b"" for x in batch["b"].to_pylist()]
+
+
+def _added(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs with the sums of their times."""
+    if not pairs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    pair, which = np.unique(np.concatenate(pairs), return_inverse=True)
+    n = np.zeros(len(pair), np.int64)
+    np.add.at(n, which, np.concatenate(times))
+    return pair, n
+
+
+def task_counts(ids: DataFrame, lengths) -> DataFrame:
+    """Rows (pair, mix, n): the links of each task by pair, and the pair's hash."""
+    def run(batches):
+        pairs, times, held = [], [], 0
+        for batch in batches:
+            for _, _, w, _ in windows(lengths.value, *_ids(batch)):
+                p, n = np.unique(w.pairs, return_counts=True)
+                pairs.append(p)
+                times.append(n)
+                held += len(p)
+                if held > 1 << 22:
+                    p, n = _added(pairs, times)
+                    pairs, times, held = [p], [n], 0
+        pair, n = _added(pairs, times)
+        yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array((mixed(pair) >> np.uint64(1)).astype(np.int64)), pa.array(n)], ["pair", "mix", "n"])
+    return ids.select("a", "b").mapInArrow(run, "pair long, mix long, n long")
 
 
 def hashes(pairs: DataFrame, parts: int) -> DataFrame:
@@ -278,19 +371,16 @@ class Slice:
         return out
 
 
-def sums(docs: DataFrame, files, held, tasks: int) -> np.ndarray:
+def sums(counts: DataFrame, held) -> np.ndarray:
     """Counts of a slice's pairs by slot: dense vectors of the tasks, summed in a tree."""
     def run(batches):
         known: Slice = held.value
         total = np.zeros(known.n, np.int64)
-        for pairs, times in _counted(aligner(files.value), batches):
-            pairs, which = np.unique(pairs, return_inverse=True)
-            slot = known.slots(pairs)
+        for batch in batches:
+            slot = known.slots(batch["pair"].to_numpy().astype(np.uint64))
             if (slot == UNSEEN).any():
                 raise ValueError("a pair of tokens that the first pass did not see")
-            n = np.zeros(len(pairs), np.int64)
-            np.add.at(n, which, times)
-            np.add.at(total, slot[slot >= 0], n[slot >= 0])
+            np.add.at(total, slot[slot >= 0], batch["n"].to_numpy()[slot >= 0])
         me, stops = TaskContext.get().partitionId(), [*list(known.first.values())[1:], known.n]
         for (part, start), stop in zip(known.first.items(), stops):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([me], pa.int32()), pa.array([total[start:stop].tobytes()])],
@@ -300,7 +390,7 @@ def sums(docs: DataFrame, files, held, tasks: int) -> np.ndarray:
         total = sum(np.frombuffer(c.as_py(), np.int64) for c in t["counts"])
         return pa.table({"part": t["part"].slice(0, 1), "node": t["node"].slice(0, 1), "counts": pa.array([total.tobytes()])})
     schema = "part int, node int, counts binary"
-    level = docs.select("text").mapInArrow(run, schema)
+    level, tasks = counts.select("pair", "n").mapInArrow(run, schema), counts.rdd.getNumPartitions()
     while tasks > 1:
         tasks = -(-tasks // FAN)
         level = level.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).groupBy("part", "node").applyInArrow(add, schema)
@@ -311,49 +401,28 @@ def sums(docs: DataFrame, files, held, tasks: int) -> np.ndarray:
     return total
 
 
-def looked_up(docs: DataFrame, files, held, counts, highest, add_groups: bool) -> DataFrame:
-    """Row per document with the sums over the links whose pairs are in the slice."""
-    kind = docs.schema["key"].dataType.simpleString()
+def looked_up(ids: DataFrame, lengths, held, counts, highest, add_groups: bool) -> DataFrame:
+    """Row per row of `ids` with the sums over the links whose pairs are in the slice."""
+    kind = ids.schema["key"].dataType.simpleString()
 
     def run(batches):
-        own, known = aligner(files.value), held.value
-        by_slot, top = counts.value, highest.value
-        generation, looked = -1, np.zeros((0, 3), np.int64)
-
-        def look():
-            nonlocal generation, looked
-            if generation != own.generation:
-                generation, looked = own.generation, np.zeros((0, 3), np.int64)
-            new = own.pairs[len(looked):]
-            if new:
-                sizes = np.array([len(p) for p in new])
-                pairs, which = np.unique(np.concatenate(new), return_inverse=True)
-                slot = known.slots(pairs) if known else np.full(len(pairs), -1)
-                n = np.where(slot >= 0, by_slot[slot], 0) if len(by_slot) else np.zeros(len(pairs), np.int64)
-                best = (slot >= 0) & (n == top[(pairs % np.uint64(own.width)).astype(np.int64)])
-                mine = np.stack((best, n, slot == UNSEEN), axis=1).astype(np.int64)[which]
-                total = np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(mine, axis=0)))
-                stop = np.cumsum(sizes)
-                looked = np.concatenate((looked, total[stop] - total[stop - sizes]))
-
-        for b in batches:
-            rows, groups = np.zeros((b.num_rows, 6), np.int64), [""] * b.num_rows
-            for i, text in enumerate(b["text"]):
-                parts = []
-                for at in own.usable(text.as_py()):
-                    look()
-                    n = own.numbers[at, :3].sum(axis=0)
-                    found = looked[at].sum(axis=0)
-                    if found[2]:
-                        raise ValueError("a pair of tokens that the first pass did not see")
-                    rows[i] += (*n, n[0] + n[1] - n[2], *found[:2])
-                    if add_groups:
-                        parts.append(b";".join(map(own.groups.__getitem__, at.tolist())))
-                groups[i] = b";".join(parts).decode()
-            yield pa.RecordBatch.from_arrays([b["key"], *[pa.array(c) for c in rows.T], pa.array(groups, pa.large_string()).cast(pa.string())],
+        known, by_slot, top, side = held.value, counts.value, highest.value, lengths.value
+        for batch in batches:
+            rows, groups = np.zeros((batch.num_rows, 6), np.int64), [b""] * batch.num_rows
+            for at, n, w, more in windows(side, *_ids(batch)):
+                pairs, which = np.unique(w.pairs, return_inverse=True)
+                slot = known.slots(pairs)
+                if (slot == UNSEEN).any():
+                    raise ValueError("a pair of tokens that the first pass did not see")
+                times = np.where(slot >= 0, by_slot[slot], 0)
+                best = (slot >= 0) & (times == top[(pairs % np.uint64(side.width)).astype(np.int64)])
+                rows[at:at + n] += w.sums(n, best[which], times[which])
+                if add_groups:
+                    for k, written in enumerate(w.groups(n), at):
+                        groups[k] = groups[k] + b";" + written if more else written
+            yield pa.RecordBatch.from_arrays([batch["key"], *[pa.array(c) for c in rows.T], pa.array([g.decode() for g in groups], pa.string())],
                                              ["key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
-    return docs.select("key", "text").mapInArrow(
-        run, f"key {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
+    return ids.mapInArrow(run, f"key {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
 
 
 def tokenizer_files(a: str | None = None, b: str | None = None) -> tuple[bytes, bytes]:
@@ -363,24 +432,22 @@ def tokenizer_files(a: str | None = None, b: str | None = None) -> tuple[bytes,
 
 
 class PairCounts:
-    """Counts of linked pairs over `docs` (text): slices as broadcasts, and the highest count of each B id."""
-
-    def __init__(self, docs: DataFrame, files: tuple[bytes, bytes]):
-        context = docs.sparkSession.sparkContext
-        self.files = context.broadcast(files)
-        pairs = stage(distinct_pairs(docs, self.files), "distinct-pairs")
-        self.n_pairs = pairs.count()
-        parts = max(1, -(-self.n_pairs // PART_PAIRS))
-        built = stage(hashes(pairs, parts), "perfect-hashes") if self.n_pairs else None
-        self.width = aligner(files).width
-        self.highest, self.slices = np.zeros(self.width, np.int64), []
-        for first in range(0, parts if built else 0, SLICE_PARTS):
+    """Counts of linked pairs over encoded documents: slices as broadcasts, and the highest count of each B id."""
+
+    def __init__(self, ids: DataFrame, lengths):
+        context = ids.sparkSession.sparkContext
+        counts = stage(task_counts(ids, lengths), "task-counts")
+        pairs = stage(counts.select("pair", "mix").distinct(), "distinct-pairs")
+        self.n_pairs, width = pairs.count(), lengths.value.width
+        parts = -(-self.n_pairs // PART_PAIRS)
+        built = stage(hashes(pairs, parts), "perfect-hashes") if parts else None
+        self.highest, self.slices = np.zeros(width, np.int64), []
+        for first in range(0, parts, SLICE_PARTS):
             held = Slice(built.where((F.col("part") >= first) & (F.col("part") < first + SLICE_PARTS)).collect(), parts)
             held = context.broadcast(held)
-            counts = sums(docs, self.files, held, docs.rdd.getNumPartitions())
-            np.maximum.at(self.highest, held.value.keys % self.width, counts)
-            self.slices.append((held, context.broadcast(counts)))
-        self.slices = self.slices or [(context.broadcast(None), context.broadcast(np.zeros(0, np.int64)))]
+            times = sums(counts, held)
+            np.maximum.at(self.highest, held.value.keys % width, times)
+            self.slices.append((held, context.broadcast(times)))
 
 
 def align(docs: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
@@ -388,13 +455,18 @@ def align(docs: DataFrame, files: tuple[bytes, bytes]) -> DataFrame:
 
     n_best counts the links whose pair has the highest count of its B id; count_sum adds the counts of all links;
     groups lists the ids of each group (`a1,a2|b1;a3|b2`)."""
-    counts = PairCounts(docs, files)
-    highest = docs.sparkSession.sparkContext.broadcast(counts.highest)
+    context = docs.sparkSession.sparkContext
+    ids = stage(encoded(docs.select(F.col("doc_id").alias("key"), "text"), context.broadcast(files)), "ids")
+    lengths = context.broadcast(Lengths(files))
+    counts = PairCounts(ids, lengths)
+    if not counts.slices:
+        zeros = [F.lit(0).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
+        return ids.select(F.col("key").alias("doc_id"), *zeros, F.lit("").alias("groups"))
+    highest = context.broadcast(counts.highest)
     if len(counts.slices) == 1:
-        keyed = docs.select(F.col("doc_id").alias("key"), "text")
-        return looked_up(keyed, counts.files, *counts.slices[0], highest, True).withColumnRenamed("key", "doc_id")
-    numbered = stage(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("key")), "numbered")
-    parts = [looked_up(numbered.select("key", "text"), counts.files, *s, highest, i == 0) for i, s in enumerate(counts.slices)]
+        return looked_up(ids, lengths, *counts.slices[0], highest, True).withColumnRenamed("key", "doc_id")
+    numbered = stage(ids.withColumnRenamed("key", "doc_id").withColumn("key", F.monotonically_increasing_id()), "numbered")
+    parts = [looked_up(numbered.select("key", "a", "b"), lengths, *s, highest, i == 0) for i, s in enumerate(counts.slices)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

@@ -34,17 +34,26 @@ def odd_texts():
     return texts + [" ", "  ", "\n", " \n", "a ", "a  ", "\x85", "日本語" * 400]
 
 
-def test_segments_are_encoded_as_the_whole_text():
-    own = alignment.Aligner(*FILES)
+def test_words_are_encoded_as_the_whole_text(monkeypatch, docs):
+    own = alignment.Encoder(*FILES)
     t = own.tokenizers
-    assert t.segment is alignment.SEGMENT
-    for text in odd_texts():
-        segments = t.segment.findall(" " + text)
-        assert "".join(segments) == " " + text
-        a, b = t.encode(segments)
-        assert sum(a, []) == t.a.encode(" " + text, add_special_tokens=False).ids
-        # a text with the sign that stands for a space never has its own bytes again
-        assert "▁" in text or sum(b, []) == t.b.encode(text)
+    assert t.by_words and t.quick
+    texts = odd_texts() + [x for _, x, _ in docs[1]]
+    for span, kept in ((1 << 22, 1 << 20), (9, 50)):
+        monkeypatch.setattr(alignment, "SPAN", span)
+        monkeypatch.setattr(alignment, "KEPT", kept)
+        found = list(own.encode(texts))
+        assert len(found) == len(texts)
+        for text, ids in zip(texts, found):
+            if not text or "▁" in text:
+                # a text with the sign that stands for a space never has its own bytes again
+                assert ids is None
+                continue
+            a, b = t.a.encode(" " + text, add_special_tokens=False).ids, t.b.encode(text)
+            if t.has_bytes(a, b, b" " + text.encode()):
+                assert [np.frombuffer(x, np.uint16).tolist() for x in ids] == [a, b], text
+            else:
+                assert ids is None
 
 
 def test_alignment(spark, root, docs, plain):
@@ -65,39 +74,31 @@ def test_alignment_of_odd_texts(spark, plain):
     assert any(w[1] == 0 for w in want) and alignment.align(df.limit(0), FILES).count() == 0
 
 
-def test_slices_runs_and_emptied_tables_change_nothing(spark, docs, plain, monkeypatch):
+def test_slices_change_nothing(spark, docs, monkeypatch):
     some = docs[0].repartition(6)
     want = rows(alignment.align(some, FILES))
-    for name, value in (("PART_PAIRS", 1 << 10), ("SLICE_PARTS", 2), ("FAN", 2), ("RUN", 50), ("KEPT", 300)):
+    for name, value in (("PART_PAIRS", 1 << 10), ("SLICE_PARTS", 2), ("FAN", 2)):
         monkeypatch.setattr(alignment, name, value)
-    # settings reach the workers with the functions that read them
-    counts = alignment.PairCounts(some, FILES)
-    assert len(counts.slices) > 2
+    ids = alignment.encoded(some.select(alignment.F.col("doc_id").alias("key"), "text"), spark.sparkContext.broadcast(FILES))
+    assert len(alignment.PairCounts(ids, spark.sparkContext.broadcast(alignment.Lengths(FILES))).slices) > 2
     assert rows(alignment.align(some, FILES)) == want
 
 
-def test_emptied_tables_and_runs(docs, monkeypatch):
-    texts = [t for _, t, _ in docs[1] if t][:60]
-    own = alignment.Aligner(*FILES)
-    want = [np.concatenate(list(own.usable(t))).size for t in texts]
-    monkeypatch.setattr(alignment, "KEPT", 40)
-    monkeypatch.setattr(alignment, "RUN", 16)
-    small = alignment.Aligner(*FILES)
-    assert [sum(len(at) for at in small.usable(t)) for t in texts] == want and small.generation > 60
-
-    class Text(str):
-        def as_py(self):
-            return str(self)
-
-    def counts(own):
-        out = {}
-        for pairs, times in alignment._counted(own, [{"text": [Text(t) for t in texts]}]):
-            for p, n in zip(pairs.tolist(), times.tolist()):
-                out[p] = out.get(p, 0) + n
-        return out
-    few = counts(small)
-    monkeypatch.undo()
-    assert few == counts(own)
+def test_windows_change_nothing(docs):
+    lengths = alignment.Lengths(FILES)
+    ids = [x or (b"", b"") for x in alignment.Encoder(*FILES).encode([t for _, t, _ in docs[1]][:60] + [None, "日本語 の text"])]
+    a, b = [x[0] for x in ids], [x[1] for x in ids]
+
+    def run(window):
+        total, groups, pairs = np.zeros((len(ids), 4), np.int64), [b""] * len(ids), []
+        for at, n, w, more in alignment.windows(lengths, a, b, window):
+            total[at:at + n] += w.sums(n)
+            pairs.append(w.pairs)
+            for k, g in enumerate(w.groups(n), at):
+                groups[k] = groups[k] + b";" + g if more else g
+        return total.tolist(), groups, np.concatenate(pairs).tolist()
+    want = run(1 << 20)
+    assert run(1) == want and run(7) == want and run(1000) == want
 
 
 def test_perfect_hash_is_minimal():
