@@ -17,7 +17,8 @@ are replaced by it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,8 @@ from capsule.sources.staging import stage
 
 #: Documents in one block of the index, about.
 BLOCK_DOCUMENTS = 4096
+#: Elements of an array that are summed in a row, and characters of a text that are cut out at a time.
+RUN, PIECE = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,11 @@ class Rule:
     group: int = 0
     least: int = 0
 
+    @property
+    def plain(self) -> str:
+        """The expression without possessive repetition, for engines that never go back; it has the same matches."""
+        return re.sub(r"(?<=[*+?}])\+", "", self.pattern)
+
 
 BASE = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -50,10 +58,11 @@ MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    # to its end line, or else over the base64 lines that follow
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,16}-----END [A-Z ]{0,20}PRIVATE KEY-----"
-         r"|(?:[\x20\t\r\n]*[A-Za-z0-9+/=]{20,})*(?:[\r\n]+[A-Za-z0-9+/]{1,19}={1,2})?)"),
+    # a bounded head: a long run of the class is not searched again from each of its places
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,256}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # to its end line, or else over the base64 lines that follow; possessive, so that no line stays on a stack
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}[^-]++){0,16}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+         r"|(?:[\x20\t\r\n]*+[A-Za-z0-9+/=]{20,}+)*+(?:[\r\n]+[A-Za-z0-9+/]{1,19}={1,2})?)"),
     Rule("url_password", r"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9_.-]+:[^\x20\x09-\x0D/:@]+@"),
 )
 RULES = BASE + MORE
@@ -91,23 +100,43 @@ def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             .groupBy("key").agg(F.bit_or("bit").alias("mask")))
 
 
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Array of the sums (by `join`; of numbers from 0 on) of the first 1, 2, ... elements. Runs of RUN elements are summed
+    by themselves, then the runs, so that no long array is copied for each element."""
+    none = F.array().cast("array<int>")
+
+    def sums(a: Column) -> Column:
+        first = F.struct(F.lit(0).alias("sum"), none.alias("all"))
+
+        def step(s: Column, x: Column) -> Column:
+            return bind(join(s["sum"], x), lambda y: F.struct(y.alias("sum"), F.concat(s["all"], F.array(y)).alias("all")))
+        return F.aggregate(a, first, step, lambda s: s["all"])
+
+    def by_runs(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(RUN))
+        runs = F.transform(starts, lambda i: sums(F.slice(v, i, RUN)))
+
+        def joined(r: Column) -> Column:
+            before = bind(sums(F.transform(r, lambda x: F.element_at(x, -1))), lambda t: F.transform(r, lambda x, i: F.when(i > 0, F.get(t, i - 1)).otherwise(0)))
+            return F.flatten(F.zip_with(r, before, lambda x, b: F.transform(x, lambda y: join(b, y))))
+        return F.when(F.size(v) > RUN, bind(runs, joined)).otherwise(sums(v))
+    return bind(values, by_runs)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Array of (start, stop) of a rule's matches, from the texts between and of the matches."""
     pattern = F.lit(rule.pattern)
 
     def places(between: Column) -> Column:
-        found = F.regexp_extract_all(text, pattern, F.lit(0))
-        secret = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-        steps = F.arrays_zip(F.transform(F.slice(between, 1, F.size(between) - 1), F.length).alias("gap"),
-                             F.transform(found, F.length).alias("size"), F.transform(secret, F.length).alias("secret"))
-        at = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,secret:int>>").alias("spans"))
-
-        def step(s: Column, x: Column) -> Column:
-            start = s["at"] + x["gap"]
-            stop = start + x["size"]
-            span = F.struct(start.alias("start"), stop.alias("stop"), x["secret"].alias("secret"))
-            return F.struct(stop.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
-        return F.filter(F.aggregate(steps, at, step, lambda s: s["spans"]), lambda x: x["secret"] >= rule.least)
+        found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+        secret = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else found
+        steps = F.arrays_zip(F.transform(F.slice(between, 1, F.size(between) - 1), F.length).alias("gap"), found.alias("size"), secret.alias("secret"))
+
+        def span(steps: Column) -> Column:
+            stops = running(F.transform(steps, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+            spans = F.zip_with(steps, stops, lambda x, stop: F.struct((stop - x["size"]).alias("start"), stop.alias("stop"), x["secret"].alias("secret")))
+            return F.filter(spans, lambda x: x["secret"] >= rule.least)
+        return bind(steps, span)
     return bind(F.split(text, rule.pattern, -1), places)
 
 
@@ -139,14 +168,20 @@ def written(found: Column, rules: Sequence[Rule]) -> Column:
 
 def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
     """Text with every span, overlapping ones together, replaced by `mark`."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(s: Column, x: Column) -> Column:
-        between = F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"),
-                        F.when(x["start"] >= s["at"], F.concat(s["parts"], between)).otherwise(s["parts"]).alias("parts"))
-    rest = lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, rest)).otherwise(text)
+    def masked(blocks: Column, spans: Column, stops: Column) -> Column:
+        def piece(start: Column, stop: Column) -> Column:
+            """Characters start..stop, from the blocks they are in."""
+            first = F.floor(start / PIECE).cast("int")
+            held = F.array_join(F.slice(blocks, first + 1, F.greatest(F.floor((stop - 1) / PIECE).cast("int") - first + 1, F.lit(0))), "")
+            return F.substring(held, F.pmod(start, F.lit(PIECE)) + 1, stop - start)
+
+        def part(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(stops, i - 1)).otherwise(0)
+            return F.when(x["start"] >= before, F.concat(piece(before, x["start"]), F.lit(mark))).otherwise("")
+        return F.concat(F.array_join(F.transform(spans, part), ""), piece(F.element_at(stops, -1), F.length(text)))
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+    whole = bind(blocks, lambda b: bind(found, lambda s: bind(running(F.transform(s, lambda x: x["stop"]), F.greatest), lambda t: masked(b, s, t))))
+    return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

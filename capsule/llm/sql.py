@@ -23,7 +23,7 @@ SELECT page_id, strlen(t) AS payload_bytes, {_BASE32} AS payload_digest,
   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to, 'ok' AS status FROM f"""
 
-_KINDS = ", ".join(f"({_quoted(r.kind)}, {i}, {_quoted(r.pattern)}, {r.group}, {r.least})" for i, r in enumerate(RULES))
+_KINDS = ", ".join(f"({_quoted(r.kind)}, {i}, {_quoted(r.plain)}, {r.group}, {r.least})" for i, r in enumerate(RULES))
 SECRETS = f"""
 WITH rules(kind, ord, pattern, grp, least) AS (VALUES {_KINDS}),
 found AS (SELECT doc_id, kind, ord, least, regexp_extract_all(t, pattern) AS m,
