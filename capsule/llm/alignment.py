@@ -44,7 +44,7 @@ from capsule.sources.staging import stage
 
 PART_PAIRS, SLICE_PARTS, FAN = 1 << 16, 64, 16
 #: Words that a worker keeps, characters of a text that are encoded at a time, tokens that are aligned at a time.
-KEPT, SPAN, WINDOW = 500_000, 1 << 22, 1 << 20
+KEPT, SPAN, WINDOW = 150_000, 1 << 22, 1 << 18
 UNSEEN = -2
 #: A space that does not stand alone before a sign: white space in the widest sense, or the end, follows it.
 LOOSE = re.compile(r" (?:[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|\Z)")
@@ -300,8 +300,12 @@ def windows(lengths: Lengths, a: list[bytes], b: list[bytes], window: int | None
         at = stop
 
 
-def _ids(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
-    return [x or b"" for x in batch["a"].to_pylist()], [x or b"" for x in batch["b"].to_pylist()]
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[bytes]]]:
+    """Batches of at most 256 rows with their ids."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield part, [x or b"" for x in part["a"].to_pylist()], [x or b"" for x in part["b"].to_pylist()]
 
 
 def _added(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -318,13 +322,13 @@ def task_counts(ids: DataFrame, lengths) -> DataFrame:
     """Rows (pair, mix, n): the links of each task by pair, and the pair's hash."""
     def run(batches):
         pairs, times, held = [], [], 0
-        for batch in batches:
-            for _, _, w, _ in windows(lengths.value, *_ids(batch)):
+        for _, a, b in _parts(batches):
+            for _, _, w, _ in windows(lengths.value, a, b):
                 p, n = np.unique(w.pairs, return_counts=True)
                 pairs.append(p)
                 times.append(n)
                 held += len(p)
-                if held > 1 << 22:
+                if held > 1 << 20:
                     p, n = _added(pairs, times)
                     pairs, times, held = [p], [n], 0
         pair, n = _added(pairs, times)
@@ -407,9 +411,9 @@ def looked_up(ids: DataFrame, lengths, held, counts, highest, add_groups: bool)
 
     def run(batches):
         known, by_slot, top, side = held.value, counts.value, highest.value, lengths.value
-        for batch in batches:
+        for batch, a, b in _parts(batches):
             rows, groups = np.zeros((batch.num_rows, 6), np.int64), [b""] * batch.num_rows
-            for at, n, w, more in windows(side, *_ids(batch)):
+            for at, n, w, more in windows(side, a, b):
                 pairs, which = np.unique(w.pairs, return_inverse=True)
                 slot = known.slots(pairs)
                 if (slot == UNSEEN).any():

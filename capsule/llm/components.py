@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from capsule.sources.staging import stage
 
 
+#: Least number of edges of a node that is joined by itself; there are never more than 200,000 such nodes.
+HUB = 1 << 16
+
+
+def with_least(both: DataFrame, edges: int) -> DataFrame:
+    """`both` (u, v) with `m`, the smallest of a node and its neighbours. Edges of a hub stay where they are: the few hubs are
+    broadcast."""
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    most = max(HUB, edges // 100_000)
+    if 2 * edges <= most:
+        return both.join(least, "u")
+    hubs = stage(least.where(F.col("n") > most).select("u", "m"), "hubs")
+    rest = both.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
+    return rest.select("u", "v", "m").unionByName(both.join(F.broadcast(hubs), "u").select("u", "v", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of `edges` (a, b); root is the smallest node of its component.
 
@@ -24,8 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(e.select("lo", "lo")).distinct()
         seen = state
         both = e.union(e.select("lo", "hi")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = with_least(both, state[0]).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = stage(large, "large-star")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))

@@ -152,9 +152,8 @@ def shared(index: DataFrame) -> DataFrame:
     return near.where("before <> entry or after <> entry").select("key", "entry").distinct()
 
 
-def chains(index: DataFrame, members: DataFrame, num: int, den: int, longest: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that follow one another under a key, once each entry has left out its most
-    frequent keys."""
+def rare_keys(index: DataFrame, members: DataFrame, num: int, den: int, longest: int) -> DataFrame:
+    """Distinct rows (key, node) of the index once each entry has left out its most frequent keys."""
     hits = stage(shared(index), "shared-keys")
     all_bands = bands(longest, num, den)
     lows = F.array(*[F.lit(low) for low, _ in all_bands])
@@ -163,12 +162,16 @@ def chains(index: DataFrame, members: DataFrame, num: int, den: int, longest: in
     below = F.col("entry").bitwiseAND(1)
     band = F.size(F.filter(lows, lambda x: x <= F.col("size"))) - 1 - below
     most_frequent = Window.partitionBy("entry").orderBy(F.col("count").desc(), F.col("key").desc())
-    rare = (hits.join(hits.groupBy("key").agg(F.count("*").alias("count")), "key")
+    return (hits.join(hits.groupBy("key").agg(F.count("*").alias("count")), "key")
             .withColumn("place", F.row_number().over(most_frequent))
             .withColumn("node", F.col("entry") - below).join(sizes, "node")
-            .where(F.col("place") > F.get(spare, band.cast("int"))))
+            .where(F.col("place") > F.get(spare, band.cast("int"))).select("key", "node"))
+
+
+def chains(hits: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that follow one another under a key."""
     before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
-    return rare.select(before.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    return hits.select(before.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
 def verify(batch: pa.Table, num: int, den: int) -> pa.Table:
@@ -210,30 +213,49 @@ def verify(batch: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"node": who[kept], "root": who[[top(i) for i in kept]] if len(kept) else who[:0], "links": links[kept]})
 
 
-def cells(docs: DataFrame, members: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
-    """Rows (cluster, one, other, block, node, copies, shingles): each node of a cluster in all cells of its block."""
+def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Rows (node, size, shingles) of the nodes in `wanted`; a task gives a node once. Documents are chosen by doc_id, then
+    told apart by their sets, so repeated and null ids only cost their own number."""
+    chosen = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("_id")).join(small(wanted), "node", "left_semi")
+    chosen = stage(chosen, "chosen")
+
+    def run(batches):
+        seen = set()
+        for b in batches:
+            for _, some in blocks(b["text"]):
+                sets = [(node(s), s) for s in shingle_sets(some, n) if len(s)]
+                new = []
+                for who, s in sets:
+                    if who not in seen:
+                        new.append((who, s))
+                        if len(seen) < 500_000:
+                            seen.add(who)
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in new], pa.int64()), pa.array([len(s) for _, s in new], pa.int64()),
+                                                  pa.array([s.tobytes() for _, s in new], pa.binary())], ["node", "size", "shingles"])
+    some = docs.select("doc_id", "text").join(small(chosen.select("_id").distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    found = some.mapInArrow(run, "node long, size long, shingles binary")
+    return found.join(small(chosen.select("node")), "node", "left_semi")
+
+
+def cells(docs: DataFrame, members: DataFrame, clusters: DataFrame, hits: DataFrame, n: int) -> DataFrame:
+    """Rows (cluster, one, other, block, node, copies, shingles): each node of a cluster in all cells of its block. A cell of
+    two blocks is there only if a key in `hits` (key, node) is in both: other nodes cannot be linked."""
     known = (members.where("n_shingles > 0").groupBy("node")
-             .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"))
+             .agg(F.count("*").alias("copies"), F.first("n_shingles").alias("size"))
              .join(clusters.withColumnRenamed("root", "cluster"), "node"))
     known = stage(known, "clustered")
     amount = known.groupBy("cluster").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = stage(known.join(amount, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-                   .select(F.col("doc_id").alias("_id"), "node", "copies", "cluster", "blocks", "block"), "wanted")
-
-    def run(batches):
-        for part, sets in _sets(batches, n):
-            keep = [i for i, s in enumerate(sets) if len(s) and node(s) == part["node"][i].as_py()]
-            kept = part.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [kept[c] for c in ("node", "copies", "cluster", "blocks", "block")]
-                + [pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-                ["node", "copies", "cluster", "blocks", "block", "shingles"])
-    found = docs.select("doc_id", "text").join(small(wanted), F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = found.mapInArrow(run, "node long, copies long, cluster long, blocks int, block int, shingles binary")
-    return (sets.withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .withColumn("one", F.least("block", "beside")).withColumn("other", F.greatest("block", "beside"))
-            .drop("blocks", "beside"))
+                   .select("node", "copies", "cluster", "blocks", "block"), "wanted")
+    several = wanted.where("blocks > 1")
+    at = hits.join(small(several.select("node", "cluster", "block")), "node").select("key", "cluster", "block").distinct()
+    pairs = (at.join(at.withColumnRenamed("block", "beside"), ["key", "cluster"]).where("block <> beside")
+             .select("cluster", "block", "beside").distinct()
+             .unionByName(wanted.select("cluster", "block", F.col("block").alias("beside")).distinct()))
+    sets = sets_of(docs, members, wanted.select("node"), n).drop("size").join(small(wanted.drop("blocks")), "node")
+    return (sets.join(small(stage(pairs, "cells")), ["cluster", "block"])
+            .withColumn("one", F.least("block", "beside")).withColumn("other", F.greatest("block", "beside")).drop("beside"))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -250,13 +272,14 @@ def classified(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     members = stage(nodes(docs, n), "nodes")
     longest = members.agg(F.max("n_shingles")).first()[0] or 0
     index = indexed(docs, n, num, den, longest)
-    candidates = components(chains(index, members, num, den, longest))
+    hits = stage(rare_keys(index, members, num, den, longest), "rare-keys")
+    candidates = stage(components(chains(hits)), "candidate-clusters")
 
     def check(batch: pa.Table) -> pa.Table:
         # a node whose doc_id is repeated may have come more than once
         seen = {x: i for i, x in enumerate(batch["node"].to_pylist())}
         return verify(batch.take(list(seen.values())) if len(seen) < batch.num_rows else batch, num, den)
-    linked = stage(cells(docs, members, candidates, n).groupBy("cluster", "one", "other")
+    linked = stage(cells(docs, members, candidates, hits, n).groupBy("cluster", "one", "other")
                    .applyInArrow(check, "node long, root long, links long"), "links")
     classes = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     one = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))

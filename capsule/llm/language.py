@@ -44,13 +44,59 @@ PARENT_PAGES = 5.0
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "ch": "de", "uk": "en", "us": "en", "ie": "en", "au": "en", "nz": "en",
                    "es": "es", "mx": "es", "ar": "es", "co": "es", "cl": "es", "fr": "fr", "be": "fr"}
 
-_HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]{1,10};")
+_ENTITY = re.compile(rb"&[#\w]{1,10};")
+_UNREAD = re.compile(rb"(?i)<(script|style)\b")
+_CLOSING = {x: re.compile(rb"(?i)</" + x + rb"\s*>") for x in (b"script", b"style")}
+_HTML = re.compile(rb"(?i)<html\b")
+_LANG = re.compile(rb"(?i)\blang\s*=\s*[\"']?([a-z]+)")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _SMALL = np.where(_LETTER, np.arange(256), 32).astype(np.uint8)
 _SMALL[65:91] += 32
 
 
+def visible(html: bytes) -> bytes:
+    """What a page shows: scripts, styles, comments, tags and entities are each a space. What is never closed is read on;
+    that nothing closes it any more is remembered, so a page is read once."""
+    out, done, at, missing = [], 0, html.find(b"<"), set()
+
+    def end_of(what, find) -> int:
+        stop = -1 if what in missing else find()
+        if stop < 0:
+            missing.add(what)
+        return stop
+
+    def closed(name: bytes) -> int:
+        m = _CLOSING[name].search(html, at)
+        return m.end() if m else -1
+    while at >= 0:
+        stop = -1
+        if unread := _UNREAD.match(html, at):
+            name = unread.group(1).lower()
+            stop = end_of(name, lambda: closed(name))
+        if stop < 0 and html.startswith(b"<!--", at):
+            stop = end_of("-->", lambda: html.find(b"-->", at + 4)) + 3
+            stop = stop if stop > 2 else -1
+        if stop < 0:
+            stop = html.find(b">", at + 1) + 1
+            if not stop:
+                break
+        out.append(_ENTITY.sub(b" ", html[done:at]))
+        done, at = stop, html.find(b"<", stop)
+    return b" ".join([*out, _ENTITY.sub(b" ", html[done:])])
+
+
+def declared_language(html: bytes) -> str | None:
+    """The first lang attribute of an html tag."""
+    at = 0
+    while m := _HTML.search(html, at):
+        stop = html.find(b">", m.end())
+        at = stop if stop >= 0 else len(html)
+        if found := _LANG.search(html, m.end(), at):
+            return found.group(1).decode().lower()
+    return None
+
+
 def trigrams(text: bytes) -> np.ndarray:
     """Buckets of the byte trigrams of a text, letters in small, runs of other signs as one space."""
     data = _SMALL[np.frombuffer(b" " + text + b" ", np.uint8)]
@@ -91,7 +137,6 @@ def text_evidence(pages: DataFrame, model: np.ndarray) -> DataFrame:
     held = pages.sparkSession.sparkContext.broadcast(model.astype(np.float32).tobytes())
     kept, n = pages.drop("text_score", "declared"), len(model)
     schema = StructType([*kept.schema.fields, StructField("text_score", ArrayType(DoubleType())), StructField("declared", StringType())])
-    declared = re.compile(rb"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = np.frombuffer(held.value, np.float32).reshape(n, -1)
@@ -100,11 +145,10 @@ def text_evidence(pages: DataFrame, model: np.ndarray) -> DataFrame:
                 part, scores, said = b.slice(at, 256), [], []
                 for html in part.column(part.schema.get_field_index("html")).to_pylist():
                     raw = (html or "").encode()
-                    found = trigrams(_HIDDEN.sub(b" ", raw))
+                    found = trigrams(visible(raw))
                     total = logs[:, found].sum(axis=1, dtype=np.float64) if len(found) else np.zeros(n)
                     scores.append((total * min(1.0, FULL_TRIGRAMS / max(1, len(found)))).tolist())
-                    m = declared.search(raw)
-                    said.append(m.group(1).decode().lower() if m else None)
+                    said.append(declared_language(raw))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.list_(pa.float64())), pa.array(said, pa.string())],
                                                  schema.fieldNames())
     return kept.mapInArrow(run, schema)

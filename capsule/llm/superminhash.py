@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from capsule.llm.common import small, table
 from capsule.llm.components import components
 from capsule.llm.hashed import blocks, mixed, shingle_sets
-from capsule.llm.jaccard import BLOCK_NODES, BLOCK_SHINGLES, node, verify
+from capsule.llm.jaccard import BLOCK_NODES, BLOCK_SHINGLES, node, sets_of, verify
 from capsule.sources.staging import stage
 
 #: Bands of a signature, and places in a band; shingles that go through the rounds at a time.
@@ -121,30 +121,6 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, keys array<long>")
 
 
-def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Rows (node, size, shingles) of the nodes in `wanted`; a task gives a node once. Documents are chosen by doc_id, then
-    told apart by their sets, so repeated and null ids only cost their own number."""
-    chosen = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("_id")).join(small(wanted), "node", "left_semi")
-    chosen = stage(chosen, "chosen")
-
-    def run(batches):
-        seen = set()
-        for b in batches:
-            for _, some in blocks(b["text"]):
-                sets = [(node(s), s) for s in shingle_sets(some, n) if len(s)]
-                new = []
-                for who, s in sets:
-                    if who not in seen:
-                        new.append((who, s))
-                        if len(seen) < 500_000:
-                            seen.add(who)
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in new], pa.int64()), pa.array([len(s) for _, s in new], pa.int64()),
-                                                  pa.array([s.tobytes() for _, s in new], pa.binary())], ["node", "size", "shingles"])
-    some = docs.select("doc_id", "text").join(small(chosen.select("_id").distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = some.mapInArrow(run, "node long, size long, shingles binary")
-    return stage(found.join(small(chosen.select("node")), "node", "left_semi"), "sets")
-
-
 def with_leader(t: pa.Table, num: int, den: int) -> pa.Table:
     """Nodes of a slice that are linked with its leader."""
     who, sets = t["node"].to_pylist(), [np.frombuffer(s.as_py(), np.uint64) for s in t["shingles"]]
@@ -208,7 +184,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, ban
     each = members.select("node", F.explode("keys").alias("key"))
     leaders = stage(each.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("top")).where("leader < top").drop("top"), "leaders")
     hits = stage(each.join(small(leaders), "key").distinct(), "hits")
-    sets = sets_of(docs, members, hits.select("node").distinct(), n)
+    sets = stage(sets_of(docs, members, hits.select("node").distinct(), n), "sets")
     links = stage(led(hits, sets, num, den), "led")
     more = stage(left_over(hits, stage(components(links), "first-classes"), sets, num, den), "more-links")
     classes = components(links.unionByName(more))
