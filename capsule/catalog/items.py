@@ -10,7 +10,7 @@ from capsule.catalog.registry import joined, query
 from capsule.functions import words
 from capsule.functions.numbers import exact_round, fixed as text
 from capsule.operators import attributes as at
-from capsule.operators import filters, footprint, lifecycle, pricing, profile, ranking, value
+from capsule.operators import asof, filters, footprint, lifecycle, pricing, profile, ranking, value
 from capsule.sources import closet as src
 from capsule.sources import driver_tables as dt
 
@@ -357,21 +357,27 @@ def _(t):
     return footprint.merge_shares(rows, ["user_id"])
 
 
-_FOOT = VERDICT + ",\n" + o.values("mx", "txt, method, mix", _MIXES) + ",\n" + o.values(
-    "mat", "material, co2, water", [(k, *v) for k, v in fixed.MATERIALS.items()]) + ",\n" + o.values(
-    "gar", "gtype, weight, pair, base", [(k, *v) for k, v in fixed.GARMENTS.items()]) + f""",
-stated AS (SELECT i.item_id, CASE WHEN lower(trim(coalesce(material, ''))) NOT IN {o.in_list(fixed.UNKNOWN_MATERIAL_TEXT)} THEN material
+def materials_sql(source: str, key: str) -> str:
+    """CTE `sums`: factor of the material mix of each row of `source`."""
+    return o.values("mx", "txt, method, mix", _MIXES) + ",\n" + o.values(
+        "mat", "material, co2, water", [(k, *v) for k, v in fixed.MATERIALS.items()]) + ",\n" + o.values(
+        "gar", "gtype, weight, pair, base", [(k, *v) for k, v in fixed.GARMENTS.items()]) + f""",
+stated AS (SELECT i.{key}, CASE WHEN lower(trim(coalesce(material, ''))) NOT IN {o.in_list(fixed.UNKNOWN_MATERIAL_TEXT)} THEN material
     WHEN coalesce(fabric_guess, '') NOT IN {o.in_list(fixed.UNKNOWN_MATERIAL_TEXT)} THEN fabric_guess END AS txt,
-    description || ' ' || label || ' ' || subcategory AS d FROM candidate_items i),
+    description || ' ' || label || ' ' || subcategory AS d FROM {source} i),
 parts_of AS (
-  SELECT item_id, string_split(p, ':')[1] AS material, string_split(p, ':')[2]::DOUBLE AS share
-  FROM (SELECT item_id, unnest(string_split(CASE
+  SELECT {key}, string_split(p, ':')[1] AS material, string_split(p, ':')[2]::DOUBLE AS share
+  FROM (SELECT {key}, unnest(string_split(CASE
       WHEN txt IN ('cotton twill', 'denim') THEN 'cotton:1' WHEN txt = 'wool' THEN 'wool:1'
       WHEN txt IS NOT NULL THEN (SELECT mix FROM mx WHERE mx.txt = stated.txt)
       WHEN regexp_matches(d, 'denim') THEN 'cotton:1' WHEN regexp_matches(d, '\\bwool') THEN 'wool:1'
       ELSE 'unknown:1' END, ' ')) AS p FROM stated)),
-sums AS (SELECT item_id, sum(share * co2) AS mixf, sum(share * water) AS wsum, sum(share) FILTER (water IS NOT NULL) AS wshare
-  FROM parts_of JOIN mat USING (material) GROUP BY item_id),
+sums AS (SELECT {key}, sum(share * co2) AS mixf, sum(share * water) AS wsum, sum(share) FILTER (water IS NOT NULL) AS wshare
+  FROM parts_of JOIN mat USING (material) GROUP BY {key})"""
+
+
+_GRADE = """CASE WHEN fscore >= 80 THEN 'A' WHEN fscore >= 65 THEN 'B' WHEN fscore >= 50 THEN 'C' WHEN fscore >= 35 THEN 'D' ELSE 'E' END"""
+_FOOT = VERDICT + ",\n" + materials_sql("candidate_items", "item_id") + """,
 foot AS (SELECT v.item_id, v.gtype, v.n, v.wears, coalesce(pair, weight * mixf) AS co2,
     coalesce(pair, weight * 21.6::DOUBLE) / base AS typical, CASE WHEN pair IS NULL AND wshare > 0 THEN weight * wsum END AS litres
   FROM verdicts v JOIN gar USING (gtype) JOIN sums USING (item_id)),
@@ -381,8 +387,7 @@ foot2 AS (SELECT *, greatest(0, least(100, round_even(50 - 30 * log2(co2 / wears
 @query("candidate_footprints", "VAL-14", "VAL-15", "VAL-16", "VAL-12",
        sql=o.with_(_FOOT) + f"""SELECT item_id, {o.rnd('co2', 2)} AS footprint_kg, round_even(litres, 0)::BIGINT AS water_l,
          {o.rnd('co2 / wears', 4)} AS per_wear_kg, fscore AS footprint_score,
-         CASE WHEN fscore >= 80 THEN 'A' WHEN fscore >= 65 THEN 'B' WHEN fscore >= 50 THEN 'C' WHEN fscore >= 35 THEN 'D' ELSE 'E' END AS grade
-         FROM foot2""")
+         {_GRADE} AS grade FROM foot2""")
 def _(t):
     return _foot(t).select("item_id", "footprint_kg", "water_l", "per_wear_kg", "footprint_score", "grade")
 
@@ -405,7 +410,51 @@ def _(t):
                     F.when(col("material_reason").startswith("Footwear"), "Footwear").otherwise("other").alias("material_kind"))
 
 
-@query("latest_footprint", "VAL-20", "JN-15", "WIN-1",
+# what was known of an item each time it was bought, and moments at which its footprint is asked for
+_MOMENTS = ("1996-06-01", "1998-11-05", "2100-01-01")
+_SEEN = f"""ev AS (SELECT 'i' || o_custkey || '_' || l_partkey AS item_id, o_orderdate AS moment, o_orderkey AS evaluation_id,
+    CASE WHEN o_orderkey % 9 > 0 THEN sum(l_quantity)::BIGINT % 12 END AS n, CASE WHEN o_orderkey % 7 > 0 THEN max(l_discount) * 10 END AS sim,
+    CASE WHEN o_orderkey % 4 > 0 THEN max(l_extendedprice) END AS paid
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey, o_orderdate, o_orderkey),
+last_ev AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY item_id, moment ORDER BY evaluation_id DESC) = 1),
+asked AS (SELECT item_id, part, m.moment FROM closet_items CROSS JOIN (VALUES {", ".join(f"(TIMESTAMP '{m}')" for m in _MOMENTS)}) m(moment)),
+known AS (SELECT a.item_id, a.part, a.moment, e.evaluation_id, coalesce(n, 0) AS n, paid,
+    CASE WHEN sim >= 0.88 THEN 0.5 WHEN sim >= 0.8 THEN 0.75 ELSE 1 END AS trims
+  FROM asked a ASOF LEFT JOIN last_ev e ON e.item_id = a.item_id AND a.moment >= e.moment),
+typed_parts AS (SELECT *, {typed("category", TEXTS)} AS gtype FROM parts)"""
+
+
+@query("footprints_as_of", "VAL-20", "JN-15",
+       sql=o.with_(o.CLOSET, _SEEN, materials_sql("parts", "part")) + f""", f AS (SELECT k.*, coalesce(pair, weight * mixf) AS co2,
+           coalesce(pair, weight * 21.6::DOUBLE) / base AS typical, CASE WHEN pair IS NULL AND wshare > 0 THEN weight * wsum END AS litres,
+           base * least(2.0, 0.5 + 0.25 * log2(1 + n)) * trims AS wears, coalesce(paid, TRY_CAST(price AS DOUBLE)) AS cost
+         FROM known k JOIN typed_parts p USING (part) JOIN gar USING (gtype) JOIN sums USING (part) WHERE evaluation_id IS NOT NULL),
+         g AS (SELECT *, greatest(0, least(100, round_even(50 - 30 * log2(co2 / wears / typical), 0)))::BIGINT AS fscore FROM f)
+         SELECT k.item_id, k.moment, k.evaluation_id, {o.rnd("co2", 2)} AS footprint_kg, round_even(litres, 0)::BIGINT AS water_l,
+           {o.rnd("wears", 1)} AS wears, fscore AS footprint_score, CASE WHEN fscore IS NOT NULL THEN {_GRADE} END AS grade,
+           {o.rnd("cost / wears", 2)} AS cost_per_wear
+         FROM known k LEFT JOIN g ON g.item_id = k.item_id AND g.moment = k.moment""")
+def _(t):
+    """Every owned item's footprint at three moments: its attributes of today with what its latest evaluation found."""
+    k = col("o_orderkey")
+    seen = (t.lineitem.join(t.orders, col("l_orderkey") == k)
+            .groupBy(F.concat(F.lit("i"), "o_custkey", F.lit("_"), "l_partkey").alias("item_id"), col("o_orderdate").cast("timestamp").alias("evaluated_at"),
+                     k.alias("evaluation_id"))
+            .agg(F.when(k % 9 > 0, F.sum("l_quantity").cast("long") % 12).alias("n_outfits"), F.when(k % 7 > 0, F.max("l_discount") * 10).alias("similarity"),
+                 F.when(k % 4 > 0, F.max("l_extendedprice")).alias("paid")))
+    moments = F.array(*[F.lit(m).cast("timestamp") for m in _MOMENTS])
+    asked = t.closet().select("item_id", "part", F.explode(moments).alias("moment"))
+    known = asof.as_of(asked, seen, ["item_id"], "moment", "evaluated_at", "evaluation_id")
+    kinds = t.parts().withColumn("garment_type", value.type_of(value.garment_type(col("category"), *[col(c) for c in TEXTS])))
+    kinds = kinds.select("part", "garment_type", "material", "fabric_guess", "description", "label", "subcategory", col("price").alias("own_price"))
+    evaluated = footprint.at_evaluation(known.where("fact is not null").join(kinds, "part"))
+    never = known.where("fact is null").select("item_id", "moment")
+    return (evaluated.select("item_id", "moment", "evaluation_id", "footprint_kg", "water_l", col("footprint_wears").alias("wears"), "footprint_score", "grade",
+                             col("footprint_cost_per_wear").alias("cost_per_wear"))
+            .unionByName(never, allowMissingColumns=True))
+
+
+@query("latest_footprint", "WIN-1",
        sql=o.with_(o.PARTS) + f""", ev AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderkey % 50 AS n FROM orders
            QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
          SELECT o_custkey AS user_id, o_orderkey AS evaluation_id, {o.rnd('70 * least(2.0, 0.5 + 0.25 * log2(1 + n))', 1)} AS wears FROM ev""")

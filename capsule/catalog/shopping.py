@@ -331,15 +331,48 @@ def _(t):
     return at.attributes_from_listing(p).select("part", "subcategory", "primary_color", "pattern", "formality", "gender")
 
 
-@query("listing_merge", "PRJ-10", "JN-18",
+_LISTED = """n AS (SELECT max(p_partkey) + 1 AS n FROM part),
+listed AS (SELECT o_orderkey AS photo, slot, label AS title, primary_color AS l_color, CASE WHEN slot = 0 THEN 19.5 END AS l_price
+  FROM orders CROSS JOIN n JOIN (SELECT unnest(range(3)) AS slot) s ON slot <= o_orderkey % 3
+  JOIN parts ON part = (o_orderkey * 7 + slot * 13) % n)"""
+
+
+@query("best_detected", "JN-18", "PRJ-10",
+       sql=o.with_(o.PARTS, _LISTED) + f""", said AS (SELECT *, {hint("lower(title)")} AS want FROM listed),
+         scored AS (SELECT s.photo, s.slot, l_linenumber AS position, part,
+             CASE WHEN want = category THEN 10 ELSE 0 END + CASE WHEN contains(lower(title), subcategory) THEN 5 ELSE 0 END
+             + floor(l_quantity * 20000 / 250000)::INT AS fit FROM said s JOIN lineitem ON l_orderkey = s.photo JOIN parts ON part = l_partkey),
+         best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY photo, slot ORDER BY fit DESC, position, part) = 1)
+         SELECT s.photo, s.slot, b.position, b.part, b.fit, CASE WHEN b.part IS NOT NULL THEN coalesce(brand, 'Listed') END AS brand,
+           CASE WHEN b.part IS NULL THEN NULL WHEN l_price IS NOT NULL AND coalesce(price, '') = '' THEN '19.5' ELSE price END AS price,
+           CASE WHEN b.part IS NULL THEN NULL WHEN l_price IS NOT NULL AND coalesce(price, '') = '' THEN 'listing' ELSE price_source END AS price_source,
+           CASE WHEN b.part IS NOT NULL THEN {color_of("lower(l_color)")} END AS primary_color
+         FROM said s LEFT JOIN best b USING (photo, slot) LEFT JOIN parts p ON p.part = b.part""")
+def _(t):
+    """Order lines as detections of a photo; up to three listings pasted for it, each merged into the item it fits best."""
+    n = t.part.agg(F.max("p_partkey") + 1).scalar()
+    slots = t.orders.select(col("o_orderkey").alias("photo"), F.explode(F.sequence(F.lit(0).cast("long"), col("o_orderkey") % 3)).alias("slot"))
+    titles = t.parts().select(col("part").alias("_p"), col("label").alias("l_title"), col("primary_color").alias("l_color"))
+    listed = (slots.withColumn("_p", (col("photo") * 7 + col("slot") * 13) % n).join(titles, "_p").drop("_p")
+              .withColumns({"l_type": F.lit(None).cast("string"), "l_brand": F.lit("Listed"), "l_price": F.when(col("slot") == 0, 19.5)}))
+    box = F.array(F.lit(0), F.lit(0), (col("l_quantity") * 20).cast("int"), F.lit(1000))
+    found = (t.lineitem.select(col("l_orderkey").alias("photo"), col("l_linenumber").alias("position"), col("l_partkey").alias("part"), box.alias("bbox"))
+             .join(t.parts().select("part", "category", "subcategory", "brand", "price", "price_source", "primary_color"), "part").withColumn("source", F.lit("upload")))
+    best = listings.best_detected(found, listed, ["slot"], ["position", "part"])
+    merged = at.merge_listing(best.where("part is not null"))
+    columns = ["photo", "slot", "position", "part", "fit", "brand", "price", "price_source", "primary_color"]
+    return merged.select(columns).unionByName(best.where("part is null").select(columns))
+
+
+@query("listing_merge", "PRJ-10",
        sql=PARTS + """SELECT part, coalesce(brand, 'Listed') AS brand, CASE WHEN coalesce(price, '') = '' THEN '19.5' ELSE price END AS price,
          CASE WHEN coalesce(price, '') = '' THEN 'listing' ELSE price_source END AS price_source, 'navy' AS primary_color,
          CASE WHEN category = 'bottom' THEN 10 ELSE 0 END + CASE WHEN subcategory = 'jeans' THEN 5 ELSE 0 END + 3 AS fit FROM parts""")
 def _(t):
     p = t.parts().withColumns({"l_title": F.lit("Navy jeans"), "l_type": F.lit(""), "l_color": F.lit("Navy"), "l_brand": F.lit("Listed"),
                                "l_price": F.lit(19.5), "source": F.lit("upload"), "bbox": F.array(*[F.lit(x) for x in (0, 0, 1000, 900)])})
-    fit = listings.listing_match(p)
-    return at.merge_listing(p.withColumn("fit", fit)).select("part", "brand", "price", "price_source", "primary_color", "fit")
+    p = listings.listing_words(p)
+    return at.merge_listing(p.withColumn("fit", listings.listing_match(p))).select("part", "brand", "price", "price_source", "primary_color", "fit")
 
 
 # ------------------------------------------------------------------ store search

@@ -302,12 +302,35 @@ def title_type(title: Column, subcategory: Column, category: Column) -> Column:
     return F.when(named, title).otherwise(subcategory)
 
 
-def listing_match(item: DataFrame) -> Column:
-    """How well a detected item fits a listing (`l_title`, `l_type`): category, type text and box size."""
+def listing_words(listings: DataFrame) -> DataFrame:
+    """Adds what a listing's title and type say: `l_body`, its text, and `l_want`, the category hinted at."""
     body = F.concat_ws(" ", filled(col("l_title")), filled(col("l_type")))
+    return listings.withColumns({"l_body": body, "l_want": words.category_hint(body)})
+
+
+def listing_match(item: DataFrame) -> Column:
+    """How well a detected item fits a listing (`l_body`, `l_want`): category, type text and box size."""
+    body = col("l_body")
     b = F.coalesce(col("bbox"), F.array(*[F.lit(0)] * 4))
     area = (F.get(b, 2) - F.get(b, 0)) * (F.get(b, 3) - F.get(b, 1))
     sub = F.lower(blank(col("subcategory")))
-    return (F.when(words.category_hint(body) == col("category"), 10).otherwise(0)
+    return (F.when(col("l_want") == col("category"), 10).otherwise(0)
             + F.when((sub != "") & F.contains(F.lower(body), sub), 5).otherwise(0)
             + F.floor(area / 250000).cast("int"))
+
+
+def best_detected(detections: DataFrame, listings: DataFrame, listing: Sequence[str], position: Sequence[str],
+                  photo: str = "photo") -> DataFrame:
+    """Every listing (identified by `listing` and its photo) with the detected item that fits it best, and how well (`fit`).
+
+    Of equal fits the earliest detection by `position` counts. A listing whose photo has no detection, or that has no photo,
+    keeps its row without an item. A photo's boxes are few (`filters.boxes` bounds them), so are the pairs.
+    """
+    keys, mine = [*listing, photo], [c for c in detections.columns if c != photo]
+    pairs = listing_words(listings).select(*keys, "l_body", "l_want").join(detections, photo)
+    rank = F.struct("fit", *[(-col(c)).alias(f"_{c}") for c in position])
+    best = (pairs.withColumn("fit", listing_match(pairs)).groupBy(*keys)
+            .agg(F.max_by(F.struct(*mine, "fit"), rank).alias("_best")))
+    a, b = listings.alias("a"), best.alias("b")
+    same = [col(f"a.{k}").eqNullSafe(col(f"b.{k}")) for k in keys]
+    return a.join(b, same, "left").select("a.*", "b._best.*")
