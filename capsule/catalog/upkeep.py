@@ -1,5 +1,7 @@
 """Table changes, curation, statistics, colours, zero-shot labels and time rules."""
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,8 +16,8 @@ from capsule.functions.numbers import exact_round
 from capsule.operators import curation, lifecycle, looks, similarity, statistics
 from capsule.operators.value import price_bar
 from capsule.plans.evaluate import closet_facts
-from capsule.sources.staging import stage
-from capsule.streaming import batch, rules, stream
+from capsule.sources.staging import shared_folder, stage
+from capsule.streaming import batch, rules, stateful, stream
 
 col = F.col
 PARTS = o.with_(o.PARTS)
@@ -491,17 +493,23 @@ def _stepwise(out: str, state: str, start: str, step: str, ok: str = "event_type
 _RECENT = f"list_filter(r.kept, lambda t: t > e.us - {_DAY})"
 
 
-@query("sliding_limit", "STR-1", sql=_stepwise("NULL::BOOLEAN AS accepted", "accepted", "[]::BIGINT[] AS kept", f"""
-        len({_RECENT}) < 3, CASE WHEN len({_RECENT}) < 3 THEN list_append({_RECENT}, e.us) ELSE {_RECENT} END"""))
+_LIMIT = _stepwise("NULL::BOOLEAN AS accepted", "accepted", "[]::BIGINT[] AS kept", f"""
+        len({_RECENT}) < 3, CASE WHEN len({_RECENT}) < 3 THEN list_append({_RECENT}, e.us) ELSE {_RECENT} END""")
+
+
+@query("sliding_limit", "STR-1", sql=_LIMIT)
 def _(t):
     return batch.apply_rule(_events(t), rules.SlidingLimit(3, 24 * 3600)).select("id", "accepted")
 
 
-@query("lockouts", "STR-3", sql=_stepwise("NULL::VARCHAR AS outcome", "outcome", "0::BIGINT AS fails, 0::BIGINT AS until", f"""
+_LOCKS = _stepwise("NULL::VARCHAR AS outcome", "outcome", "0::BIGINT AS fails, 0::BIGINT AS until", f"""
         CASE WHEN r.until > e.us THEN 'locked' WHEN e.ok THEN 'ok' WHEN r.fails + 1 >= 5 THEN 'locked' ELSE 'invalid' END,
         CASE WHEN r.until > e.us THEN r.fails WHEN e.ok OR r.fails + 1 >= 5 THEN 0 ELSE r.fails + 1 END,
         CASE WHEN r.until > e.us THEN r.until WHEN e.ok THEN 0 WHEN r.fails + 1 >= 5 THEN e.us + {_DAY} ELSE r.until END""",
-                                          "event_type = 'purchase'"))
+                                          "event_type = 'purchase'")
+
+
+@query("lockouts", "STR-3", sql=_LOCKS)
 def _(t):
     e = t.events.select(col("user_id").alias("key"), col("ts").cast("timestamp").alias("ts"), (col("event_type") == "purchase").alias("ok"),
                         col("event_id").alias("id"))
@@ -511,18 +519,79 @@ def _(t):
 _FRESH = f"coalesce(e.us - r.at < {_DAY}, false)"
 
 
-@query("fetch_cache", "STR-5", sql=_stepwise("NULL::BOOLEAN AS fetched", "fetched", "NULL::BIGINT AS at", f"""
-        NOT {_FRESH}, CASE WHEN NOT {_FRESH} AND e.ok THEN e.us ELSE r.at END"""))
+_FETCHES = _stepwise("NULL::BOOLEAN AS fetched", "fetched", "NULL::BIGINT AS at", f"""
+        NOT {_FRESH}, CASE WHEN NOT {_FRESH} AND e.ok THEN e.us ELSE r.at END""")
+
+
+@query("fetch_cache", "STR-5", sql=_FETCHES)
 def _(t):
     return batch.apply_rule(_events(t), rules.FetchCache(24 * 3600)).select("id", "fetched")
 
 
-@query("retry_gate", "STR-7", sql=_stepwise("NULL::BOOLEAN AS started", "started", "NULL::BIGINT AS at", f"""
-        NOT {_FRESH}, CASE WHEN {_FRESH} THEN r.at WHEN e.ok THEN NULL ELSE e.us END"""))
+_RETRIES = _stepwise("NULL::BOOLEAN AS started", "started", "NULL::BIGINT AS at", f"""
+        NOT {_FRESH}, CASE WHEN {_FRESH} THEN r.at WHEN e.ok THEN NULL ELSE e.us END""")
+
+
+@query("retry_gate", "STR-7", sql=_RETRIES)
 def _(t):
     return batch.apply_rule(_events(t), rules.RetryGate(24 * 3600)).select("id", "started")
 
 
+# the same events as a stream: four slices of time, some events of the first half only with the last slice
+_HELD, _STREAM_PENDING = 97, 12 * 3600
+_ARRIVED = f"""b AS (SELECT epoch_us(min(ts)::TIMESTAMP) AS lo, epoch_us(max(ts)::TIMESTAMP) AS hi FROM events),
+s AS (SELECT e.*, epoch_us(ts::TIMESTAMP) AS us, (epoch_us(ts::TIMESTAMP) - lo) * 4 // (hi - lo + 1) AS quarter FROM events e, b),
+arrived AS (SELECT *, CASE WHEN event_id % {_HELD} = 0 AND quarter < 2 THEN 3 ELSE quarter END AS slice FROM s),
+mark AS (SELECT (max(us) // 1000 - 600000) * 1000 AS mark FROM arrived WHERE slice < 3),
+kept AS (SELECT arrived.* FROM arrived, mark WHERE slice < 3 OR us > mark)"""
+_STREAMED = {"sliding_limit": ("accepted", _LIMIT), "lockout": ("outcome", _LOCKS), "fetch_cache": ("fetched", _FETCHES), "retry_gate": ("started", _RETRIES)}
+
+
+def _replayed(t):
+    """Events and the outcomes of all rules, from one replay of the stream."""
+    def make():
+        at = F.unix_micros(col("ts").cast("timestamp"))
+        lo, hi = t.events.agg(F.min(at), F.max(at)).first()
+        quarter = F.floor((at - lo) * 4 / (hi - lo + 1)) if lo is not None else F.lit(0)
+        e = t.events.select(col("user_id").alias("key"), col("ts").cast("timestamp").alias("ts"), col("event_id").alias("id"),
+                            (col("event_type") != "error").alias("fine"), (col("event_type") == "purchase").alias("bought"),
+                            (col("event_type") != "view").alias("done"),
+                            F.when((col("event_id") % _HELD == 0) & (quarter < 2), 3).otherwise(quarter).alias("slice"))
+        day = 24 * 3600
+        by_name = {"sliding_limit": rules.SlidingLimit(3, day), "lockout": rules.Lockout(5, day), "fetch_cache": rules.FetchCache(day),
+                   "retry_gate": rules.RetryGate(day), "pending": stateful.PendingTimeout(_STREAM_PENDING)}
+        flags = dict.fromkeys(by_name, "fine") | {"lockout": "bought", "pending": "done"}
+        folder = f"{shared_folder(t.spark)}/replay-{uuid.uuid4().hex[:12]}"
+        slices = [e.where(col("slice") == n).drop("slice") for n in range(4)]
+        return e, stateful.replay(slices, folder, by_name, flags)
+    return t._once("replay", make)
+
+
+@query("streamed_rules", "STR-1", "STR-3", "STR-5", "STR-7",
+       sql=f"WITH {_ARRIVED} " + " UNION ALL ".join(
+           f"SELECT '{rule}' AS rule, id, {column}::VARCHAR AS outcome FROM ({sql.replace('FROM events', 'FROM kept')})"
+           for rule, (column, sql) in _STREAMED.items()))
+def _(t):
+    return _replayed(t)[1].where("rule <> 'pending'").select("rule", "id", "outcome")
+
+
+@query("streamed_timeouts", "STR-6",
+       sql=f"""WITH {_ARRIVED}, n AS (SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS next FROM kept)
+         SELECT event_id AS id, user_id, us + {_STREAM_PENDING * 1_000_000} AS failed_at FROM n
+         WHERE event_type = 'view' AND coalesce(next > us + {_STREAM_PENDING * 1_000_000}, true)""")
+def _(t):
+    """Pending turns that a timer failed, without an event."""
+    return _replayed(t)[1].where("rule = 'pending'").select("id", col("key").alias("user_id"), F.unix_micros("ts").alias("failed_at"))
+
+
+@query("late_events", "STR-1",
+       sql=f"WITH {_ARRIVED} SELECT event_id AS id, user_id FROM arrived, mark WHERE slice = 3 AND us <= mark")
+def _(t):
+    """Events that the watermark had passed when they came."""
+    events, outcomes = _replayed(t)
+    return stateful.late_rows(events, outcomes, "sliding_limit").select("id", col("key").alias("user_id"))
+
+
 @query("recent_events", "STR-2",
        sql="SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)")
 def _(t):

@@ -1,14 +1,11 @@
-"""The time rules and closet maintenance on Structured Streaming."""
+"""Debouncing and closet maintenance on Structured Streaming (`stateful` has the time rules)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from capsule.operators.profile import content_key
 from capsule.streaming import batch
@@ -17,28 +14,6 @@ col = F.col
 LATENESS = "10 minutes"
 
 
-def apply_rule(events: DataFrame, rule, *, key: str = "key", ts: str = "ts", order: str = "id") -> DataFrame:
-    """A rule over a stream: its state per key lives in the state store. Events of one trigger are taken in time order."""
-    name, kind = rule.out.split()
-    names = [f.split()[0] for f in rule.state.split(", ")]
-    schema = StructType(list(events.schema.fields)).add(name, kind)
-    columns = events.columns
-
-    def run(k, frames, state: GroupState):
-        current = tuple(state.get) if state.exists else rule.start()
-        current = tuple(list(x) if isinstance(x, (list, tuple)) else x for x in current)
-        rows = pd.concat(list(frames)).sort_values([ts, order])
-        out = []
-        for t, ok in zip(rows[ts], rows["ok"]):
-            current, result = rule.step(current, t.value // 1000, bool(ok))
-            out.append(result)
-        state.update(current)
-        yield rows[columns].assign(**{name: out})
-
-    assert len(names) == len(rule.start())
-    return events.groupBy(key).applyInPandasWithState(run, schema, rule.state, "append", GroupStateTimeout.NoTimeout)
-
-
 def debounced(changes: DataFrame, key: str = "key", ts: str = "ts", **kw) -> DataFrame:
     return batch.debounced(changes.withWatermark(ts, LATENESS), key, ts, **kw)
 
@@ -75,4 +50,4 @@ def stale_users(closet: DataFrame, saved: DataFrame, changed: DataFrame) -> Data
         ~col("closet_key").eqNullSafe(col("saved_key"))).drop("saved_key")
 
 
-__all__ = ["apply_rule", "debounced", "fold_changes", "keep_index", "stale_users"]
+__all__ = ["debounced", "fold_changes", "keep_index", "stale_users"]

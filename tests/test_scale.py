@@ -13,7 +13,7 @@ from capsule.operators import ranking, similarity, statistics
 from capsule.operators.attributes import default_settings
 from capsule.operators.looks import compatible
 from capsule.plans.evaluate import evaluate
-from capsule.streaming import batch, rules, stream
+from capsule.streaming import batch, rules
 
 VEC = {"image": "image_key", "text": "text_key", "style": "style_key"}
 
@@ -62,19 +62,6 @@ def test_segments_change_nothing(spark, rule):
     assert got == want
 
 
-@pytest.mark.parametrize("rule", RULES[:2], ids=lambda r: type(r).__name__)
-def test_stream_equals_batch(spark, rule):
-    df, _ = _events(spark, 120)
-    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    df.coalesce(1).write.parquet(f"{folder}/in")
-    name = rule.out.split()[0]
-    q = (stream.apply_rule(spark.readStream.schema(df.schema).parquet(f"{folder}/in"), rule).writeStream.format("memory")
-         .queryName(f"out_{type(rule).__name__}").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    got = {r["id"]: r[name] for r in spark.table(f"out_{type(rule).__name__}").collect()}
-    assert got == {r["id"]: r[name] for r in batch.apply_rule(df, rule).collect()}
-
-
 def test_store_spread_against_the_plain_loop(spark):
     rng = random.Random(5)
     rows = [(p, q, f"s{rng.randrange(3)}", f"h{rng.randrange(6)}", rng.randrange(8) / 2, o)
