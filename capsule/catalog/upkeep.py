@@ -10,13 +10,14 @@ from pyspark.sql.types import DoubleType
 from capsule import fixed
 from capsule.catalog import oracle as o
 from capsule.catalog.evaluation import VERDICT
-from capsule.catalog.registry import CENTER, query
+from capsule.catalog.registry import CENTER, QUERIES, query
 from capsule.functions import colors
 from capsule.functions.numbers import exact_round
 from capsule.operators import curation, lifecycle, looks, similarity, statistics
 from capsule.operators.value import price_bar
 from capsule.plans.evaluate import closet_facts
 from capsule.sources.staging import shared_folder, stage
+from capsule.sources.written import WrittenTable
 from capsule.streaming import batch, rules, stateful, stream
 
 col = F.col
@@ -66,6 +67,62 @@ def _(t):
     return lifecycle.replace_content(old, fresh)
 
 
+def _written(t, first, keys):
+    """A new written table with the rows of `first`."""
+    path = f"{shared_folder(t.spark)}/written-{uuid.uuid4().hex[:12]}"
+    table = WrittenTable(t.spark, path, first.schema, keys, 16).create()
+    table.change(first, lambda _: first)
+    return table
+
+
+def _sql_of(name):
+    return QUERIES[name].sql
+
+
+@query("written_rows", "SNK-1", sql=_sql_of("append_rows"))
+def _(t):
+    """Rows appended to a written table twice; the second time only new ids stay."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber").distinct().withColumn(
+        "id", lifecycle.natural_id("it_", col("l_orderkey"), col("l_linenumber")))
+    table = _written(t, rows.where(col("l_orderkey") % 2 == 0), ["id"])
+    table.change(rows, lambda kept: lifecycle.append_rows(kept, rows, "id"))
+    return table.read().groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("written_upserts", "SNK-2", sql=_sql_of("upsert_rows"))
+def _(t):
+    """Balances updated in a written table: only the buckets of changed customers are read and written."""
+    first = t.customer.where(col("c_custkey") % 3 != 0).select(col("c_custkey").alias("k"), col("c_acctbal").alias("bal"), col("c_mktsegment").alias("segment"))
+    table = _written(t, first, ["k"])
+    rows = t.orders.select(col("o_custkey").alias("k"), col("o_totalprice").alias("bal"), F.lit(None).cast("string").alias("segment"),
+                           F.struct("o_orderdate", "o_orderkey").alias("at"))
+    table.change(rows, lambda kept: lifecycle.upsert(kept, rows, ["k"], "at", update=["bal"]))
+    return table.read()
+
+
+@query("written_sets", "SNK-3", "SET-3", sql=_sql_of("header_detail"))
+def _(t):
+    """Set members written below their headers; a set that is saved again has only its new members."""
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda e: e["l_partkey"] % 7)
+    sets = t.lineitem.groupBy(col("l_orderkey").alias("outfit_id")).agg(ids.alias("item_ids")).withColumn("user_id", F.lit(1))
+    old = lifecycle.header_and_detail(sets.withColumn("item_ids", F.reverse("item_ids")))[1]
+    table = _written(t, old, ["outfit_id"])
+    fresh = lifecycle.header_and_detail(sets)[1]
+    table.change(sets, lambda kept: kept.join(sets.select("outfit_id"), "outfit_id", "left_anti").unionByName(fresh))
+    return table.read().select("outfit_id", "item_id", col("position").cast("bigint").alias("position"))
+
+
+@query("written_content", "SNK-4", sql=_sql_of("replace_content"))
+def _(t):
+    """Content keys replaced in a written table, twice under one name: the repetition changes nothing."""
+    u = t.customer.select(col("c_custkey").alias("user_id"), "c_nationkey")
+    table = _written(t, u.select("user_id", F.explode(F.array(F.lit("old1"), F.lit("old2"))).alias("closet_key")), ["user_id"])
+    fresh = u.where(col("user_id") % 4 == 0).select("user_id", F.concat(F.lit("new"), "c_nationkey").alias("closet_key"))
+    for keys in (fresh, fresh.withColumn("closet_key", F.lit("again"))):
+        table.change(keys, lambda kept, keys=keys: lifecycle.replace_content(kept, keys), "replace-1")
+    return table.read()
+
+
 @query("delete_items", "SNK-5", "SNK-7",
        sql="""SELECT o_custkey AS user_id, l_orderkey AS outfit_key, count(*) AS members FROM lineitem JOIN orders ON o_orderkey = l_orderkey
          WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 50 = 0) GROUP BY ALL""")
@@ -175,6 +232,27 @@ def _(t):
     return known.select("outfit_key", exact_round(col("score"), 6).alias("score"))
 
 
+@query("score_cache", "JN-6", "SNK-1",
+       sql="""WITH k AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)
+         SELECT 1 AS run, count(*) AS sets, count(*) FILTER (k % 10 > 0) AS scored FROM k UNION ALL SELECT 2, count(*), 0 FROM k""")
+def _(t):
+    """Two runs over the same sets with a written cache: the first scores and appends what is missing, the second nothing."""
+    sets, counts = _order_sets(t), None
+    first = sets.where(col("outfit_key") % 10 == 0).select("user_id", "outfit_key", F.lit("m1").alias("model"), F.lit(0.25).alias("score"))
+    cache = _written(t, first, ["user_id", "outfit_key"])
+
+    def score(missing):
+        rows = missing.select("user_id", "outfit_key", F.explode("ids").alias("p"))
+        v = t.vectors(rows, vec="p").groupBy("user_id", "outfit_key").agg(F.collect_list("vec").alias("vecs"))
+        return v.select("user_id", "outfit_key", looks.score_sets(v, col("vecs"), center=CENTER).alias("score"))
+    for run in (1, 2):
+        known, fresh = looks.scored_with_cache(sets, cache, "m1", score)
+        each = [d.select(F.lit(run).alias("run"), F.lit(a).alias("sets"), F.lit(b).alias("scored")) for d, a, b in ((known, 1, 0), (fresh, 0, 1))]
+        n = each[0].unionByName(each[1])
+        counts = n if counts is None else counts.unionByName(n)
+    return counts.groupBy("run").agg(F.sum("sets").alias("sets"), F.sum("scored").alias("scored"))
+
+
 @F.pandas_udf(DoubleType())
 def _weakest(vectors: pd.Series) -> pd.Series:
     """Smallest cosine of any two vectors of a set (unit vectors); 1 for fewer than two."""
@@ -630,13 +708,20 @@ def _(t):
        sql="""SELECT user_id, count(*) AS members FROM (SELECT user_id, event_id % 40 AS item_id, arg_max(event_type = 'error', struct_pack(t := ts, o := event_type = 'error')) AS gone
          FROM events GROUP BY ALL) WHERE NOT gone GROUP BY user_id""")
 def _(t):
+    """Changes in three deliveries through the stream, the second one with changes that are older than the first's."""
+    at = F.unix_micros(col("ts").cast("timestamp"))
     c = t.events.select("user_id", (col("event_id") % 40).alias("item_id"), F.when(col("event_type") == "error", "remove").otherwise("add").alias("op"),
-                        "ts", F.array(col("value")).alias("vector"))
-    # the earlier half makes the table, the later one is folded into it
-    middle = c.agg(F.percentile(F.unix_micros(col("ts").cast("timestamp")), 0.5)).scalar()
-    early = F.unix_micros(col("ts").cast("timestamp")) < middle
-    table = stage(stream.fold_changes(None, c.where(early)), "index")
-    return stream.fold_changes(table, c.where(~early)).groupBy("user_id").agg(F.count("*").alias("members"))
+                        col("ts").cast("timestamp").alias("ts"), F.array(col("value")).alias("vector"))
+    folder = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex[:12]}"
+    index = stream.index_table(t.spark, f"{folder}/table").create()
+    middle = c.agg(F.percentile(at, 0.5)).scalar()
+    early = at < middle
+    held = F.pmod(F.xxhash64("user_id", "item_id", "ts"), F.lit(5)) == 0
+    for part in (early & ~held, early & held, ~early):
+        c.where(part).write.mode("append").parquet(f"{folder}/changes")
+        run = stream.keep_index(t.spark.readStream.schema(c.schema).parquet(f"{folder}/changes"), index, f"{folder}/checkpoint")
+        run.awaitTermination()
+    return stream.members(index.read()).groupBy("user_id").agg(F.count("*").alias("members"))
 
 
 @query("stale_closets", "STR-10",

@@ -1,6 +1,6 @@
 """Table changes as frames in, frame out: append, upsert, replace, delete, erase, import, diff.
 
-The result is the new content of a table; `capsule.sources.sinks` writes it.
+The result is the new content of a table; `capsule.sources.written` writes it.
 """
 
 from __future__ import annotations
