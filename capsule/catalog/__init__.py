@@ -1,4 +1,4 @@
 """Registered queries; importing the package registers them all."""
 
-from capsule.catalog import evaluation, items, shopping, upkeep  # noqa: F401
+from capsule.catalog import evaluation, items, shopping, suggestions, upkeep  # noqa: F401
 from capsule.catalog.registry import QUERIES, Query, Tables  # noqa: F401
