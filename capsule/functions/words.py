@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from capsule import fixed
+from capsule.functions.entities import unescape
 from capsule.functions.rules import filled, literal_array, lookup
 
 
@@ -100,20 +101,6 @@ def template_label(t: Column) -> Column:
     return F.coalesce(lookup(t, fixed.TEMPLATE_LABELS), F.array_join(parts, " + "))
 
 
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " ",
-            "&reg;": "®", "&trade;": "™", "&copy;": "©", "&ndash;": "–", "&mdash;": "—",
-            "&hellip;": "…", "&rsquo;": "’", "&lsquo;": "‘", "&rdquo;": "”", "&ldquo;": "“",
-            "&eacute;": "é", "&pound;": "£", "&euro;": "€", "&amp;": "&"}
-
-
-def unescape(text: Column) -> Column:
-    """Common HTML entities, `&amp;` last so that nothing is decoded twice."""
-    out = text
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
-
-
 def strip_tags(text: Column, limit: int | None = None) -> Column:
     """Text without tags, spaces folded; with a `limit`, cut at a word boundary with an ellipsis beyond it."""
     t = F.regexp_replace(blank(text), "<[^>]+>", " ")
