@@ -1,9 +1,10 @@
 """Document fingerprints of closed syncmers.
 
-A text is cut into tokens: words, long ones in pieces of PIECE characters. Of all runs of K tokens those are anchors
-whose smallest inner run of S tokens (by hash; the first of equal ones) stands at the start or the end. Whether a run is
-an anchor depends on its own tokens alone, so equal passages have equal anchors wherever they stand. A text without
-any (of few tokens) has its whole sequence as its anchor.
+A text is cut into tokens: words, and of words longer than PIECE each sign, so that text without spaces is cut by its
+content. Of all runs of K tokens those are anchors whose smallest inner run of S tokens (by hash; the first of equal ones)
+stands at the start or the end. Whether a run is an anchor depends on its own tokens alone, so equal passages have equal
+anchors wherever they stand. A text of fewer than FEW tokens also has the anchors of its signs, in runs of K_SIGNS; one
+without any anchor has its whole sequence as its anchor.
 
 A fingerprint is the list of its anchors' hashes in text order; `places` of two fingerprints match equal anchors.
 
@@ -25,13 +26,16 @@ from capsule.llm.common import bind, small, table
 from capsule.sources.staging import stage
 
 K, S, PIECE = 6, 2, 24
+FEW, K_SIGNS = 2 * K, 4
 #: Bits kept of an anchor's hash in a fingerprint.
 KEPT_BITS = (1 << 31) - 1
 
 
-def tokens(text: Column) -> Column:
+SIGN = r"[^\x20\x09-\x0D]"
+
+
+def tokens(text: Column, pattern: str = rf"(?<!{SIGN}){SIGN}{{1,{PIECE}}}+(?!{SIGN})|{SIGN}") -> Column:
     """Hashes of the tokens of a text."""
-    pattern = r"[^\x20\x09-\x0D]{1,%d}" % PIECE
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), lambda w: F.xxhash64(w))
 
 
@@ -54,9 +58,9 @@ def _least(a: Column, n: int) -> Column:
     return bind(_least(a, half), lambda m: _with(m, _from(m, half) if n == 2 * half else _from(_least(a, n - half), half), lambda x, y: F.least(x, y)))
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Array of (at, hash): the anchors of a text in order, `at` counting tokens from 0."""
-    inner = k - s
+def _closed(h: Column, k: int, s: int) -> Column:
+    """Array of (at, hash): the closed runs of k of the hashes `h`."""
+    inner, run = k - s, h
 
     def closed(m: Column) -> Column:
         """From the hashes of all inner runs."""
@@ -66,18 +70,22 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
             (F.get(m, i) <= F.get(least, i + 1)) | (F.get(m, i + inner) < F.get(least, i)),
             F.struct(i.alias("at"), F.xxhash64(*[F.get(m, i + j) for j in (*range(0, inner, s), inner)]).alias("hash"))))
         return F.filter(bind(_least(m, inner), before), lambda x: x.isNotNull())
+    for j in range(1, s):
+        run = _with(run, _from(h, j), lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(h) >= k, bind(run, closed)).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
+
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """Array of (at, hash): the anchors of a text in order, `at` counting tokens from 0 (signs, for anchors of signs)."""
     def whole(h: Column) -> Column:
         one = F.struct(F.lit(0).alias("at"), F.aggregate(h, F.size(h).cast("bigint"), lambda a, x: F.xxhash64(a, x)).alias("hash"))
         return F.when(F.size(h) > 0, F.array(one)).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
-    def runs_of(h: Column) -> Column:
-        run = h
-        for j in range(1, s):
-            run = _with(run, _from(h, j), lambda a, b: F.xxhash64(a, b))
-        some = F.when(F.size(h) >= k, bind(run, closed))
-        return bind(some, lambda x: F.when(F.size(x) > 0, x).otherwise(whole(h)))
-    return bind(tokens(text), runs_of)
+    def found(h: Column) -> Column:
+        signs = F.when(F.size(h) < FEW, bind(tokens(text, SIGN), lambda c: _closed(c, K_SIGNS, s)))
+        every = F.concat(_closed(h, k, s), F.coalesce(signs, F.array().cast("array<struct<at:int,hash:bigint>>")))
+        return bind(every, lambda x: F.when(F.size(x) > 0, x).otherwise(whole(h)))
+    return bind(tokens(text), found)
 
 
 def fingerprint(found: Column) -> Column:
@@ -92,10 +100,10 @@ def hashes(text: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Shared part of the distinct anchors of two texts."""
-    def share(common: Column) -> Column:
-        every = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - common
+    def share(x: Column, y: Column, common: Column) -> Column:
+        every = F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)) - common
         return F.when(every > 0, common / every).otherwise(F.lit(1.0))
-    return bind(F.size(F.array_intersect(a, b)), share)
+    return bind(a, lambda x: bind(b, lambda y: bind(F.size(F.array_intersect(x, y)), lambda common: share(x, y, common))))
 
 
 def places(a: Column, b: Column) -> Column:

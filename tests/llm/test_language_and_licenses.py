@@ -1,7 +1,9 @@
 """Language identification and licence scans against plain versions."""
 
 import math
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -159,3 +161,21 @@ def test_licenses_of_the_documents(spark, root):
                 assert got[r.doc_id].origin == "header" and got[r.doc_id].cosine > 0.99
                 assert got[r.doc_id].license == name or r.text.count("icens") > 1
     assert {r.origin for r in got.values()} <= {"header", "inherited", None}
+
+
+def test_markup_is_read_once():
+    hidden = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]{1,10};")
+    declared = re.compile(rb"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)")
+    rng = random.Random(1)
+    pieces = [b"<script ", b"<script>", b"</script>", b"</SCRIPT  >", b"<style", b"</style>", b"<!--", b"-->", b"<", b">", b"a b ", b"&amp;", b"&", b";", b"<html ",
+              b"lang=de", b" lang = 'fr'", b"<p>", b"--", b"!", b"<scripty", b"\n", b"xlang=en"]
+    for _ in range(20_000):
+        page = b"".join(rng.choices(pieces, k=rng.randrange(1, 14)))
+        found = declared.search(page)
+        assert language.visible(page) == hidden.sub(b" ", page)
+        assert language.declared_language(page) == (found.group(1).decode().lower() if found else None)
+    start = time.time()
+    for piece in (b"<!--", b"<script ", b"<", b"<html ", b"<style>", b"<!-- -", b"<script></script "):
+        page = piece * (5_000_000 // len(piece))
+        language.visible(page), language.declared_language(page)
+    assert time.time() - start < 60

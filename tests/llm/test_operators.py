@@ -1,7 +1,9 @@
 """The numbered operators against plain versions, and on odd tables."""
 
 import hashlib
+import itertools
 import random
+import time
 
 import brute
 import numpy as np
@@ -150,6 +152,35 @@ def test_redaction(spark):
     assert got == {1: "é [secret]' [secret] end", 2: None, 3: "plain"}
 
 
+def test_hostile_texts_take_linear_time(spark):
+    head = "-----BEGIN RSA PRIVATE KEY-----\n"
+    texts = {"key": head + ("A" * 64 + "\n") * 100_000, "hex": "0123456789abcdef " * 100_000, "heads": head * 20_000, "jwt": "eyJ" * 300_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(4)
+    start = time.time()
+    found = secrets.scan(df).withColumn("masked", secrets.redacted(F.col("text"), F.col("found")))
+    got = {r.doc_id: (r.n, r.masked) for r in found.select("doc_id", F.size("found").alias("n"), "masked").collect()}
+    assert got["key"] == (1, "[secret]\n") and got["hex"] == (100_000, "[secret] " * 100_000) and got["heads"] == (20_000, "[secret]\n" * 20_000)
+    assert got["jwt"] == (0, texts["jwt"]) and time.time() - start < 120
+
+
+def test_rules_mean_the_same_without_possessive_repetition():
+    rng = random.Random(3)
+    pieces = ["-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n", "A" * 30, "B" * 64, "x=", "-", "--", " ", "word", "=="]
+    for rule in secrets.RULES:
+        for _ in range(400):
+            text = "".join(rng.choices(pieces, k=9))
+            assert [m.span() for m in brute.re.finditer(rule.pattern, text)] == [m.span() for m in brute.re.finditer(rule.plain, text)]
+
+
+def test_running_sums(spark):
+    rng = random.Random(4)
+    lists = [[rng.randrange(1000) for _ in range(n)] for n in (0, 1, 255, 256, 257, 5000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
+    got = df.select("i", secrets.running(F.col("x"), lambda a, b: a + b).alias("s"), secrets.running(F.col("x"), F.greatest).alias("m")).collect()
+    for i, s, m in got:
+        assert s == list(itertools.accumulate(lists[i])) and m == list(itertools.accumulate(lists[i], max))
+
+
 # 5
 
 def test_fingerprints(spark, root, docs):
@@ -181,9 +212,24 @@ def test_closed_syncmers_by_definition(spark):
             five = [inner[i, at + j] for j in range(5)]
             if five.index(min(five)) in (0, 4):
                 want.append(at)
+        # words of one letter are signs too: few of them are also taken in runs of four
+        for at in range(n - 3 if n < fingerprints.FEW else 0):
+            three = [inner[i, at + j] for j in range(3)]
+            if three.index(min(three)) in (0, 2):
+                want.append(at)
         assert [x["at"] for x in found] == (want or ([0] if n else []))
 
 
+def test_fingerprints_follow_the_content(spark):
+    rng = random.Random(1)
+    characters = "".join(chr(0x4e00 + rng.randrange(3000)) for _ in range(600))
+    pairs = [(characters, "x" + characters), ("one two three four", "one two three five"), ("the quick brown fox jumps over", "the quick brown fox jumps out"),
+             ("https://example.com/" + "a1b2c3" * 30, "see https://example.com/" + "a1b2c3" * 30)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select(fingerprints.likeness(fingerprints.hashes(F.col("a")), fingerprints.hashes(F.col("b"))).alias("l")).collect()
+    assert all(0.5 < r.l <= 1 for r in got) and got[0].l > 0.95
+
+
 def test_anchors_are_found_where_passages_meet(spark):
     rng = random.Random(6)
     make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
