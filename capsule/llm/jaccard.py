@@ -237,9 +237,8 @@ def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int) -> D
     return found.join(small(chosen.select("node")), "node", "left_semi")
 
 
-def cells(docs: DataFrame, members: DataFrame, clusters: DataFrame, hits: DataFrame, n: int) -> DataFrame:
-    """Rows (cluster, one, other, block, node, copies, shingles): each node of a cluster in all cells of its block. A cell of
-    two blocks is there only if a key in `hits` (key, node) is in both: other nodes cannot be linked."""
+def cells(docs: DataFrame, members: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
+    """Rows (cluster, one, other, block, node, copies, shingles): each node of a cluster in all cells of its block."""
     known = (members.where("n_shingles > 0").groupBy("node")
              .agg(F.count("*").alias("copies"), F.first("n_shingles").alias("size"))
              .join(clusters.withColumnRenamed("root", "cluster"), "node"))
@@ -248,14 +247,10 @@ def cells(docs: DataFrame, members: DataFrame, clusters: DataFrame, hits: DataFr
         F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = stage(known.join(amount, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
                    .select("node", "copies", "cluster", "blocks", "block"), "wanted")
-    several = wanted.where("blocks > 1")
-    at = hits.join(small(several.select("node", "cluster", "block")), "node").select("key", "cluster", "block").distinct()
-    pairs = (at.join(at.withColumnRenamed("block", "beside"), ["key", "cluster"]).where("block <> beside")
-             .select("cluster", "block", "beside").distinct()
-             .unionByName(wanted.select("cluster", "block", F.col("block").alias("beside")).distinct()))
-    sets = sets_of(docs, members, wanted.select("node"), n).drop("size").join(small(wanted.drop("blocks")), "node")
-    return (sets.join(small(stage(pairs, "cells")), ["cluster", "block"])
-            .withColumn("one", F.least("block", "beside")).withColumn("other", F.greatest("block", "beside")).drop("beside"))
+    sets = sets_of(docs, members, wanted.select("node"), n).drop("size").join(small(wanted), "node")
+    return (sets.withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("one", F.least("block", "beside")).withColumn("other", F.greatest("block", "beside"))
+            .drop("blocks", "beside"))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -272,14 +267,13 @@ def classified(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     members = stage(nodes(docs, n), "nodes")
     longest = members.agg(F.max("n_shingles")).first()[0] or 0
     index = indexed(docs, n, num, den, longest)
-    hits = stage(rare_keys(index, members, num, den, longest), "rare-keys")
-    candidates = stage(components(chains(hits)), "candidate-clusters")
+    candidates = stage(components(chains(rare_keys(index, members, num, den, longest))), "candidate-clusters")
 
     def check(batch: pa.Table) -> pa.Table:
         # a node whose doc_id is repeated may have come more than once
         seen = {x: i for i, x in enumerate(batch["node"].to_pylist())}
         return verify(batch.take(list(seen.values())) if len(seen) < batch.num_rows else batch, num, den)
-    linked = stage(cells(docs, members, candidates, hits, n).groupBy("cluster", "one", "other")
+    linked = stage(cells(docs, members, candidates, n).groupBy("cluster", "one", "other")
                    .applyInArrow(check, "node long, root long, links long"), "links")
     classes = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     one = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
